@@ -85,13 +85,11 @@ def _bank_max(source: str, client: str = "") -> str:
 
 def _two_hop(source: str) -> str:
     return f"""
-      SELECT l.from_bank AS a_bank, l.from_account AS a_account,
-             l.to_bank AS b_bank, l.to_account AS b_account,
-             r.to_bank AS c_bank, r.to_account AS c_account,
-             CAST(sum(l.n * r.n) AS BIGINT) AS paths
+      SELECT l.from_bank, l.from_account, r.to_bank, r.to_account,
+             CAST(sum(l.n * r.n) AS BIGINT) AS count
       FROM {source} l JOIN {source} r ON l.to_bank = r.from_bank AND l.to_account = r.from_account
       WHERE NOT (l.from_bank = r.to_bank AND l.from_account = r.to_account)
-      GROUP BY 1, 2, 3, 4, 5, 6"""
+      GROUP BY 1, 2, 3, 4"""
 
 
 _EDGES = """
@@ -365,3 +363,42 @@ for _key, _op, _threshold in (("lt", "<", 1500), ("eq", "=", 5743.5575), ("gt",
 # The merged forms must equal the plain ones.
 ORACLE["agg_pair_count_merge"] = ORACLE["agg_pair_count"]
 ORACLE["union_averages"] = ORACLE["agg_format_avg"]
+
+# So must the streams.
+ORACLE["stream_q1"] = ORACLE["q1_small_usd"]
+ORACLE["stream_bank_max"] = _with(_TX, _USD, select=_bank_max("usd"))
+ORACLE["stream_format_avg"] = ORACLE["agg_format_avg"]
+ORACLE["stream_count"] = _with(
+    _TX, select="SELECT count(*) AS count FROM tx WHERE payment_format IN ('Wire', 'ACH')"
+)
+ORACLE["stream_q3"] = ORACLE["q3_below_avg"]
+ORACLE["stream_two_hop"] = _with(
+    _TX,
+    f"""
+usd AS (SELECT * FROM tx WHERE payment_currency = 'US Dollar' AND {_in('quarter')})""",
+    _EDGES,
+    select=_two_hop("edges"),
+)
+# Only messages that name their sender can be recognised as repeated; purchases do.
+ORACLE["stream_dedup"] = _with(_MSG, select="SELECT * FROM msg")
+ORACLE["high_mark"] = _with(
+    _MSG,
+    """
+arrived AS (
+  SELECT client_id, sender, msg_id, amount_paid, CAST(c AS INTEGER) AS copy,
+         CAST(c AS BIGINT) * 1000000000000 + msg_id AS arrival
+  FROM msg JOIN (SELECT 1 AS c UNION ALL SELECT 2) ON c = 1 OR sender = 'purchase'),
+marked AS (
+  SELECT *, max(msg_id) OVER (PARTITION BY client_id, sender ORDER BY arrival
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+  FROM arrived)""",
+    select="""SELECT client_id, sender, msg_id, amount_paid, copy, arrival FROM marked
+              WHERE sender IS NULL OR mark IS NULL OR msg_id > mark""",
+)
+ORACLE["stream_high_mark"] = ORACLE["high_mark"]
+ORACLE["stream_end_markers"] = """
+    SELECT 'u' || CAST(user_id AS STRING) AS client_id,
+           count(*) FILTER (WHERE event_type <> 'signup') AS count
+    FROM events GROUP BY 1
+    HAVING count(*) FILTER (WHERE event_type = 'signup') >= 10
+       AND count(*) FILTER (WHERE event_type = 'error' AND value > 150) = 0"""

@@ -49,10 +49,10 @@ def _usd(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/orders.parquet")
+    return views.table(spark, folder, "orders")
 
 
-def _money(name: str) -> Column:
+def money(name: str) -> Column:
     """Sums differ in their last digits with the order of addition."""
     return F.round(name, 4).alias(name)
 
@@ -74,7 +74,7 @@ def scan_transactions(spark, folder):
 @query
 def scan_accounts(spark, folder):
     path = run_folder(spark, "accounts-csv")
-    suppliers = spark.read.parquet(f"{folder}/supplier.parquet")
+    suppliers = views.table(spark, folder, "supplier")
     suppliers.select(
         F.concat(F.lit(" Bank, "), F.col("s_nationkey")).alias("Bank Name"),
         F.lpad(F.col("s_nationkey").cast("string"), 4, "0").alias("Bank ID"),
@@ -124,7 +124,7 @@ _PAYMENT = T.StructType(
 def _envelopes(spark, folder):
     """Events packed hundred by hundred; every seventh message miscounts, every eleventh
     has lost its payload."""
-    rows = spark.read.parquet(f"{folder}/events.parquet").select(
+    rows = views.table(spark, folder, "events").select(
         F.floor(F.col("event_id") / 100).alias("msg_id"),
         F.struct(
             F.concat(F.lit("B"), "user_id").alias("from_bank"),
@@ -265,7 +265,7 @@ def agg_bank_max(spark, folder):
 @query
 def agg_format_avg(spark, folder):
     averages = aggregates.average_per_group(views.transactions(spark, folder))
-    return averages.select("payment_format", _money("average_amount"))
+    return averages.select("payment_format", money("average_amount"))
 
 
 @query
@@ -315,7 +315,7 @@ def join_bank_name(spark, folder):
 
 @query
 def join_two_hop(spark, folder):
-    return graph.two_hop_paths(_usd(spark, folder))
+    return graph.two_hop_pairs(_usd(spark, folder))
 
 
 @query
@@ -350,7 +350,7 @@ def union_averages(spark, folder):
     parts = joins.union_streams(
         aggregates.average_parts(tx.where(early)), aggregates.average_parts(tx.where(~early))
     )
-    return aggregates.merge_average_parts(parts).select("payment_format", _money("average_amount"))
+    return aggregates.merge_average_parts(parts).select("payment_format", money("average_amount"))
 
 
 @query

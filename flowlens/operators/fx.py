@@ -16,10 +16,15 @@ def _one_rate_per_day(rates: DataFrame) -> DataFrame:
     return rates.groupBy("rate_date", "code").agg(F.max("rate").alias("rate"))
 
 
-def rate_intervals(rates: DataFrame) -> DataFrame:
-    """Each rate with the day the next one replaces it (NULL for the last)."""
+def rate_in_force(rates: DataFrame) -> DataFrame:
+    """Daily rates with their gaps filled: each rate stands until the day before the next,
+    the last ones until the last day of the table. Days times currencies bound its size."""
+    daily = _one_rate_per_day(rates)
+    last_day = daily.agg(F.max("rate_date")).scalar()
     following = F.lead("rate_date").over(Window.partitionBy("code").orderBy("rate_date"))
-    return _one_rate_per_day(rates).withColumn("until", following)
+    until = F.coalesce(F.date_sub(following, 1), F.col("_last"))
+    spans = daily.withColumn("_last", last_day).withColumn("_until", until)
+    return spans.select(F.explode(F.sequence("rate_date", "_until")).alias("rate_date"), "code", "rate")
 
 
 def with_base_amount(
@@ -33,25 +38,26 @@ def with_base_amount(
     """Adds `column`, the amount in the base currency, and drops rows that cannot be
     converted: a missing field, Bitcoin or another unknown currency, no rate for the day.
 
-    `as_of` takes the last rate on or before the day instead of the day's own. The code is
-    an equality key in both forms, so the join is a hash join.
+    `as_of` takes the last rate on or before the day instead of the day's own. Both forms
+    join on equal day and code. A range condition would compare each row with every rate
+    of its currency; filling the gaps first avoids that, and days after the table's last
+    one look up that last day.
     """
     day = F.to_date("ts")
-    keyed = df.withColumn("_code", currency_code(F.col("payment_currency")))
+    table = _one_rate_per_day(rates)
     if as_of:
-        table = pin_if_small(rate_intervals(rates), rate_rows).alias("r")
-        in_force = (day >= F.col("r.rate_date")) & (
-            F.col("r.until").isNull() | (day < F.col("r.until"))
-        )
-    else:
-        table = pin_if_small(_one_rate_per_day(rates), rate_rows).alias("r")
-        in_force = day == F.col("r.rate_date")
-    joined = keyed.join(table, (F.col("_code") == F.col("r.code")) & in_force, "left")
-    converted = F.when(
-        F.col("payment_currency") == F.lit(BASE_CURRENCY), F.col(amount)
-    ).otherwise(F.try_divide(F.col(amount), F.col("r.rate")))
+        table = rate_in_force(rates)
+        day = F.least(day, F.lit(rates.agg(F.max("rate_date")).first()[0]).cast("date"))
+    table = pin_if_small(table, rate_rows).alias("_r")
+    code = currency_code(F.col("payment_currency"))
+    match = (code == F.col("_r.code")) & (day == F.col("_r.rate_date"))
+    in_base = F.col("payment_currency") == F.lit(BASE_CURRENCY)
+    converted = F.when(in_base, F.col(amount)).otherwise(
+        F.try_divide(F.col(amount), F.col("_r.rate"))
+    )
     return (
-        joined.withColumn(column, F.when(F.col("ts").isNotNull(), converted))
+        df.join(table, match, "left")
+        .withColumn(column, F.when(F.col("ts").isNotNull(), converted))
         .where(F.col(column).isNotNull())
         .select(*df.columns, column)
     )

@@ -56,12 +56,6 @@ def _accounts_at_ends(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFra
     return aggregates.distinct_accounts(df, by)
 
 
-def _self_merge(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFrame:
-    paths = graph.two_hop_paths(df, by)
-    ends = zip((*graph.A, *graph.C), (*FROM, *TO))
-    return paths.select(*by, *(F.col(old).alias(new) for old, new in ends), F.col("paths").alias("count"))
-
-
 STRATEGIES: dict[str, Strategy] = {
     "none": lambda df, side, p, by: df,
     "currency": lambda df, side, p, by: df.where(currency_is(p["value"])),
@@ -80,7 +74,7 @@ STRATEGIES: dict[str, Strategy] = {
         df, int(p.get("min_destinations", 5)), by
     ),
     "accounts": lambda df, side, p, by: joins.with_bank_name(df, side["accounts"], by),
-    "self_merge": _self_merge,
+    "self_merge": lambda df, side, p, by: graph.two_hop_pairs(df, by),
     "historical_average": lambda df, side, p, by: joins.below_average(
         df, side["averages"], float(p.get("threshold_divisor", 100)), by=by
     ),

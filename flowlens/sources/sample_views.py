@@ -6,8 +6,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Declared, so that planning reads no file footers and streams can use the same tables.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _bank(key: str) -> Column:
@@ -49,12 +63,12 @@ def transactions_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return transactions_of(_table(spark, folder, "lineitem"), _table(spark, folder, "orders"))
+    return transactions_of(table(spark, folder, "lineitem"), table(spark, folder, "orders"))
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
     """Banks are nations; those of one region are missing, so some names stay unknown."""
-    nation = _table(spark, folder, "nation").where(F.col("n_regionkey") != 4)
+    nation = table(spark, folder, "nation").where(F.col("n_regionkey") != 4)
     return nation.select(
         F.col("n_name").alias("bank_name"), F.col("n_nationkey").cast("string").alias("bank_id")
     )
@@ -62,7 +76,7 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
 
 def rates(spark: SparkSession, folder: str) -> DataFrame:
     """One rate per currency and day with a suitable order; other days are gaps."""
-    orders = _table(spark, folder, "orders")
+    orders = table(spark, folder, "orders")
     euro = orders.where(F.col("o_orderstatus") == "P").groupBy(F.to_date("o_orderdate")).agg(
         (F.lit(0.8) + F.max(F.col("o_custkey") % 40).cast("double") / 100).alias("rate")
     )
@@ -94,4 +108,4 @@ def messages_of(events: DataFrame, repeats: bool = False) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str, repeats: bool = False) -> DataFrame:
-    return messages_of(_table(spark, folder, "events"), repeats)
+    return messages_of(table(spark, folder, "events"), repeats)
