@@ -386,7 +386,8 @@ ORACLE["high_mark"] = _with(
     """
 arrived AS (
   SELECT client_id, sender, msg_id, amount_paid, CAST(c AS INTEGER) AS copy,
-         CAST(c AS BIGINT) * 1000000000000 + msg_id AS arrival
+         CAST(c AS BIGINT) * 1000000000000 + msg_id
+         + CASE WHEN sender = 'view' AND msg_id % 5 = 0 THEN 400 ELSE 0 END AS arrival
   FROM msg JOIN (SELECT 1 AS c UNION ALL SELECT 2) ON c = 1 OR sender = 'purchase'),
 marked AS (
   SELECT *, max(msg_id) OVER (PARTITION BY client_id, sender ORDER BY arrival

@@ -82,8 +82,10 @@ def stream_dedup(spark, folder):
 
 
 def _arrivals(messages: DataFrame) -> DataFrame:
-    """Second copies arrive after everything else, first copies in order of their number."""
-    return messages.select("*", (F.col("copy") * 1_000_000_000_000 + F.col("msg_id")).alias("arrival"))
+    """Second copies arrive after everything else, and every fifth view is late."""
+    late = (F.col("sender") == "view") & (F.col("msg_id") % 5 == 0)
+    order = F.col("copy") * 1_000_000_000_000 + F.col("msg_id") + F.when(late, 400).otherwise(0)
+    return messages.select("*", order.alias("arrival"))
 
 
 @query
