@@ -14,7 +14,8 @@ from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
 from flowlens.streaming import questions
 from flowlens.streaming.completion import CompletedClients
 from flowlens.streaming.ingest import stream_parquet
-from flowlens.streaming.replays import above_high_mark, drop_repeats, stream_above_high_mark
+from flowlens.streaming.replays import above_high_mark, drop_repeats, high_mark_branches
+from flowlens.streaming.runs import appended, run
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,8 +96,9 @@ def high_mark(spark, folder):
 
 @query
 def stream_high_mark(spark, folder):
-    fresh = stream_above_high_mark(_arrivals(_messages(spark, folder)), arrival="arrival")
-    return questions.rows_of(fresh, run_folder(spark, "stream-high-mark"))
+    messages, path = _arrivals(_messages(spark, folder)), run_folder(spark, "stream-high-mark")
+    run(messages, path, high_mark_branches("arrival", path, block=1000))
+    return appended(spark, path, "rows", messages.schema)
 
 
 @query

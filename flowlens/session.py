@@ -53,6 +53,8 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute `df` once and cut its lineage, on storage that outlives executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute `df` once and go on from a table in the shared folder. That cuts the lineage,
+    survives lost executors, and gives the planner real sizes and columns to prune."""
+    path = run_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from flowlens.streaming.runs import BatchBranches, numbered
+
 KEY = ("client_id", "sender", "msg_id")
 
 
@@ -34,46 +36,63 @@ def _complete(key: Sequence[str]) -> Column:
 
 
 def above_high_mark(
-    df: DataFrame, arrival: str, key: Sequence[str] = KEY, block: int = 1_000_000
+    df: DataFrame,
+    arrival: str,
+    key: Sequence[str] = KEY,
+    block: int = 1_000_000,
+    marks: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows whose number exceeds every earlier one of their client and sender.
+    """Rows whose number exceeds every earlier one of their client and sender, `marks` (with
+    a column `top`) holding those of earlier batches.
 
     A running maximum in order of `arrival`, in two levels: within blocks of arrival numbers
     and over the maxima of the blocks. A sender with most of the rows is thereby spread
     over as many tasks as it has blocks.
     """
     *who, number = key
-    blocked = df.withColumn("_block", F.floor(F.col(arrival) / block))
-    maxima = blocked.where(_complete(key)).groupBy(*who, "_block").agg(F.max(number).alias("_top"))
-    earlier = Window.partitionBy(*who).orderBy("_block")
-    before = maxima.select(
-        *who,
-        "_block",
-        F.max("_top")
-        .over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_before"),
-    )
+    known = df.where(_complete(key)).withColumn("_block", F.floor(F.col(arrival) / block))
+    maxima = known.groupBy(*who, "_block").agg(F.max(number).alias("_top"))
+    if marks is not None:
+        first = marks.select(*who, F.lit(None).cast("long").alias("_block"), F.col("top").alias("_top"))
+        maxima = maxima.unionByName(first)
+    earlier = Window.partitionBy(*who).orderBy(F.col("_block").asc_nulls_first())
+    before = F.max("_top").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = maxima.select(*who, "_block", before.alias("_before")).where("_block IS NOT NULL")
     inside = Window.partitionBy(*who, "_block").orderBy(arrival)
     so_far = F.max(number).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    marked = blocked.join(before, [*who, "_block"], "left").withColumn("_in_block", so_far)
+    marked = known.join(blocks, [*who, "_block"]).withColumn("_in_block", so_far)
     mark = F.greatest("_before", "_in_block")
-    fresh = ~_complete(key) | mark.isNull() | (F.col(number) > mark)
-    return marked.where(fresh).select(*df.columns)
+    fresh = marked.where(mark.isNull() | (F.col(number) > mark)).select(*df.columns)
+    return fresh.unionByName(df.where(~_complete(key)))
+
+
+def high_mark_branches(arrival: str, folder: str, key: Sequence[str] = KEY, block: int = 1_000_000) -> BatchBranches:
+    """`above_high_mark` batch by batch, for `runs.run`: fresh rows go to the branch `rows`,
+    and the marks to the branch `marks`, from where the next batch takes them. Both are
+    files of their batch, so a repeated batch starts from the same marks."""
+    *who, number = key
+
+    def branches(batch: DataFrame, n: int) -> dict[str, DataFrame]:
+        top = batch.where(_complete(key)).groupBy(*who).agg(F.max(number).alias("top"))
+        before = numbered(batch.sparkSession, folder, "marks", top.schema).where(F.col("batch") == n - 1)
+        before = before.drop("batch")
+        marks = top.unionByName(before).groupBy(*who).agg(F.max("top").alias("top"))
+        return {"rows": above_high_mark(batch, arrival, key, block, before), "marks": marks}
+
+    return branches
 
 
 class _HighMark(StatefulProcessor):
     """Keeps the highest number seen per client and sender."""
 
-    def __init__(self, number: str, arrival: str | None):
-        self.number, self.arrival = number, arrival
+    def __init__(self, number: str):
+        self.number = number
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", T.StructType([T.StructField("top", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         top = self.mark.get()[0] if self.mark.exists() else -(2**63)
-        if self.arrival is not None:
-            rows = iter([pd.concat(list(rows)).sort_values(self.arrival, kind="stable")])
         for chunk in rows:
             numbers = chunk[self.number]
             earlier = numbers.cummax().shift(fill_value=top).clip(lower=top)
@@ -85,19 +104,13 @@ class _HighMark(StatefulProcessor):
         pass
 
 
-def stream_above_high_mark(
-    stream: DataFrame, key: Sequence[str] = KEY, arrival: str | None = None
-) -> DataFrame:
-    """`above_high_mark` on a stream, with one number of state per client and sender.
-
-    Rows count as they come; `arrival` restores the order inside a batch where the source
-    does not keep it, so `max_files` on the source should bound the batch. The work is
-    spread by client and sender; where one of them is too much for a task, `drop_repeats`
-    spreads by the full message key.
-    """
+def stream_above_high_mark(stream: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The same for sources without arrival numbers: rows count in the order they come, and
+    one number per client and sender is kept as state. Rows pass through in chunks, but all
+    of one sender through one task; `high_mark_branches` or `drop_repeats` spread wider."""
     *who, number = key
     known = stream.where(_complete(key))
     fresh = known.groupBy(*who).transformWithStateInPandas(
-        _HighMark(number, arrival), stream.schema, "Append", "None"
+        _HighMark(number), stream.schema, "Append", "None"
     )
     return fresh.unionByName(stream.where(~_complete(key)))

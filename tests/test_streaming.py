@@ -64,12 +64,14 @@ def test_high_mark_over_batches(spark, tmp_path):
     for block in (1, 3, 100):
         got = replays.above_high_mark(df, "arrival", block=block)
         assert sorted(r["arrival"] for r in got.collect()) == want
-    source, folder = str(tmp_path / "in"), run_folder(spark, "mark")
+    source, folder, by_state = str(tmp_path / "in"), run_folder(spark, "mark"), run_folder(spark, "state")
     for part in (first, second):
         drop(spark, source, part, MESSAGE)
-        stream = replays.stream_above_high_mark(ingest.stream_parquet(spark, source, MESSAGE, 1), arrival="arrival")
-        table = questions.rows_of(stream, folder)
-    assert sorted(r["arrival"] for r in table.collect()) == want
+        stream = ingest.stream_parquet(spark, source, MESSAGE, 1)
+        runs.run(stream, folder, replays.high_mark_branches("arrival", folder, block=3))
+        table = questions.rows_of(replays.stream_above_high_mark(stream), by_state)
+    for rows in (runs.appended(spark, folder, "rows", df.schema), table):
+        assert sorted(r["arrival"] for r in rows.collect()) == want
 
 
 def test_repeats_over_batches(spark, tmp_path):
@@ -83,6 +85,19 @@ def test_repeats_over_batches(spark, tmp_path):
     assert replays.drop_repeats(spark.createDataFrame(rows * 2, MESSAGE)).count() == 6
 
 
+def test_repeats_within_a_watermark(spark, tmp_path):
+    schema = "client_id string, sender string, msg_id bigint, at timestamp"
+    rows = spark.range(6).selectExpr(
+        "'c' AS client_id", "'s' AS sender", "id % 3 AS msg_id", "timestamp_seconds(id) AS at"
+    )
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = ingest.stream_parquet(spark, str(tmp_path / "in"), schema)
+    table = questions.rows_of(
+        replays.drop_repeats(stream, watermark=("at", "1 hour")), run_folder(spark, "within")
+    )
+    assert table.count() == 3
+
+
 KIND = "client_id string, type string"
 
 
