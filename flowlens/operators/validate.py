@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowlens.session import materialize
+
 
 def diff_multiset(got: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows whose number of copies differs, with both numbers; empty when equal.
@@ -76,20 +78,22 @@ def diff_clients(
     of clients is ever compared row by row.
     """
     columns = [c for c in results.columns if c != client]
-    first = clients.agg(F.min(client)).scalar()
+    first = clients.agg(F.min(client)).first()[0]
     copies = results.groupBy(client, *columns).agg(F.count("*").alias("_n"))
-    of_first = F.max(F.when(F.col(client) == F.col("_first"), F.col("_n")))
-    marked = copies.withColumn("_first", first).withColumn(
-        "_ref", of_first.over(Window.partitionBy(*columns))
+    of_first = F.max(F.when(F.col(client) == F.lit(first), F.col("_n")))
+    marked = copies.withColumn("_wanted", of_first.over(Window.partitionBy(*columns)))
+    per_client = materialize(
+        marked.groupBy(client).agg(
+            F.sum("_n").alias("rows"),
+            F.count("*").alias("_different"),
+            F.count_if(F.col("_n") == F.col("_wanted")).alias("_matching"),
+        )
+    )
+    wanted = per_client.where(F.col(client) == F.lit(first)).select("_different").first()
+    agrees = (F.col("_matching") == F.col("_different")) & (
+        F.col("_different") == F.lit(wanted[0] if wanted else 0)
     )
-    per_client = marked.groupBy(client).agg(
-        F.sum("_n").alias("rows"),
-        F.count("*").alias("_different"),
-        F.count_if(F.col("_n") == F.col("_ref")).alias("_matching"),
+    counted = clients.select(client).distinct().join(per_client, client, "left")
+    return counted.fillna(0, ["rows", "_different", "_matching"]).select(
+        client, "rows", agrees.alias("agrees")
     )
-    counts = ("rows", "_different", "_matching")
-    filled = clients.select(client).distinct().join(per_client, client, "left").fillna(0, counts)
-    reference = filled.groupBy(client).agg(F.max("_different").alias("_d"))
-    reference = reference.where(F.col(client) == first).select("_d").scalar()
-    agrees = (F.col("_matching") == F.col("_different")) & (F.col("_different") == reference)
-    return filled.select(client, "rows", agrees.alias("agrees"))
