@@ -181,7 +181,7 @@ ORACLE: dict[str, str] = {
     "clean_fields": """
         SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority,
                CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END AS amount FROM orders""",
-    "parse_timestamps": """
+    "parse_timestamp": """
         SELECT o_orderkey, CASE WHEN o_orderstatus = 'F'
                  THEN o_orderdate + to_hours(o_custkey % 24) + to_minutes(o_custkey % 60)
                WHEN o_orderstatus = 'O'
@@ -368,9 +368,13 @@ ORACLE["union_averages"] = ORACLE["agg_format_avg"]
 ORACLE["stream_q1"] = ORACLE["q1_small_usd"]
 ORACLE["stream_bank_max"] = _with(_TX, _USD, select=_bank_max("usd"))
 ORACLE["stream_format_avg"] = ORACLE["agg_format_avg"]
+ORACLE["stream_routes"] = ORACLE["route_multi"]
 ORACLE["stream_count"] = _with(
     _TX, select="SELECT count(*) AS count FROM tx WHERE payment_format IN ('Wire', 'ACH')"
 )
+ORACLE["stream_count_by_client"] = _with(
+    _TX, select="SELECT client_id, count(*) AS count FROM tx GROUP BY 1"
+)
 ORACLE["stream_q3"] = ORACLE["q3_below_avg"]
 ORACLE["stream_two_hop"] = _with(
     _TX,

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from flowlens.functions import predicates as P
-from flowlens.functions.cleaning import blank_to_null, parse_timestamp, strip_leading_zeros, to_amount
+from flowlens.functions import cleaning, predicates as P
 from flowlens.operators import aggregates, fx, graph, joins, routing, validate
 from flowlens.operators.projection import project_to
 from flowlens.plans import questions
@@ -98,13 +97,13 @@ def clean_fields(spark, folder):
     )
     return raw.select(
         "o_orderkey",
-        blank_to_null(F.col("priority")).alias("priority"),
-        to_amount(F.col("amount")).alias("amount"),
+        cleaning.blank_to_null(F.col("priority")).alias("priority"),
+        cleaning.to_amount(F.col("amount")).alias("amount"),
     )
 
 
 @query
-def parse_timestamps(spark, folder):
+def parse_timestamp(spark, folder):
     hour, minute = F.col("o_custkey") % 24, F.col("o_custkey") % 60
     text = (
         F.when(F.col("o_orderstatus") == "F", F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"),
@@ -113,7 +112,7 @@ def parse_timestamps(spark, folder):
               F.format_string(" %d:%d:%d", hour, minute, minute)))
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"))
     )
-    return _orders(spark, folder).select("o_orderkey", parse_timestamp(text).alias("ts"))
+    return _orders(spark, folder).select("o_orderkey", cleaning.parse_timestamp(text).alias("ts"))
 
 
 _PAYMENT = T.StructType(
@@ -221,13 +220,13 @@ def project_to_schema(spark, folder):
 def norm_bank_id(spark, folder):
     tx = views.transactions(spark, folder)
     return tx.groupBy("from_bank").agg(F.count("*").alias("n")).select(
-        "from_bank", strip_leading_zeros(F.col("from_bank")).alias("bank_key"), "n"
+        "from_bank", cleaning.strip_leading_zeros(F.col("from_bank")).alias("bank_key"), "n"
     )
 
 
 # --- routing -------------------------------------------------------------------------
 
-_ROUTES = {
+ROUTES = {
     "history": [{"type": "date_range", "from": "1997-01-01", "to": "1997-01-31"}],
     "candidates": [{"type": "date_range", "from": "1997-02-01", "to": "1997-03-31"}],
     "scatter": [
@@ -239,7 +238,7 @@ _ROUTES = {
 
 @query
 def route_multi(spark, folder):
-    return routing.route(views.transactions(spark, folder), _ROUTES)
+    return routing.route(views.transactions(spark, folder), ROUTES)
 
 
 @query

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.catalog.queries import PARAMETERS, QUARTER, money, query
+from flowlens.catalog.queries import PARAMETERS, QUARTER, ROUTES, money, query
 from flowlens.functions.predicates import date_between, format_in
 from flowlens.operators.aggregates import merge_pair_counts, row_count
+from flowlens.operators.joins import union_streams
+from flowlens.operators.routing import split
 from flowlens.plans.questions import in_currency
 from flowlens.session import run_folder
 from flowlens.sources import sample_views as views
@@ -37,6 +39,15 @@ def stream_q1(spark, folder):
     return questions.small_payment_stream(_transactions(spark, folder), path, PARAMETERS)
 
 
+@query
+def stream_routes(spark, folder):
+    """One pass over the stream writes every route."""
+    tx, path = _transactions(spark, folder), run_folder(spark, "stream-routes")
+    run(tx, path, lambda batch, _: split(batch, ROUTES))
+    routes = (appended(spark, path, r, tx.schema).withColumn("route", F.lit(r)) for r in ROUTES)
+    return union_streams(*routes)
+
+
 @query
 def stream_bank_max(spark, folder):
     usd = in_currency(_transactions(spark, folder))
@@ -56,6 +67,12 @@ def stream_count(spark, folder):
     return questions.count_stream(wanted, run_folder(spark, "stream-count"))
 
 
+@query
+def stream_count_by_client(spark, folder):
+    tx = _transactions(spark, folder)
+    return questions.count_stream(tx, run_folder(spark, "stream-clients"), by=["client_id"])
+
+
 @query
 def stream_q3(spark, folder):
     def open_stream() -> DataFrame:

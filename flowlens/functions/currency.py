@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 BASE_CURRENCY = "US Dollar"
+BASE_CODE = "USD"
 
 # Currency name -> ISO code. Bitcoin has no official rate and is absent.
 CURRENCY_CODES = {

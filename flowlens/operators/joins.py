@@ -63,5 +63,7 @@ def union_streams(*frames: DataFrame) -> DataFrame:
 
 
 def purge_clients(df: DataFrame, cancelled: DataFrame, client: str = "client_id") -> DataFrame:
-    """Drops everything held for cancelled clients."""
-    return df.join(cancelled.select(client).distinct(), client, "left_anti")
+    """Drops everything held for cancelled clients. Few of them are broadcast, which keeps
+    the rows of a large client from meeting in one task."""
+    gone = pin_if_small(cancelled.select(client).distinct())
+    return df.join(gone, client, "left_anti")

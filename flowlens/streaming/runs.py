@@ -19,9 +19,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 BatchBranches = Callable[[DataFrame, int], Mapping[str, DataFrame]]
 
 
-def start(stream: DataFrame, folder: str, branches: BatchBranches, mode: str = "append") -> StreamingQuery:
+def start(
+    stream: DataFrame,
+    folder: str,
+    branches: BatchBranches,
+    mode: str = "append",
+    every: str | None = None,
+) -> StreamingQuery:
     """Starts a query that writes each branch of each batch to
-    ``folder/<branch>/batch=<number>`` and stops when the available input is used up."""
+    ``folder/<branch>/batch=<number>``. It stops when the available input is used up, or
+    goes on with a batch `every` so often."""
 
     def write(batch: DataFrame, number: int) -> None:
         outputs = branches(batch, number)
@@ -35,7 +42,7 @@ def start(stream: DataFrame, folder: str, branches: BatchBranches, mode: str = "
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F, types as T
 
 from flowlens.schema import RESULTS, TRANSACTIONS
-from flowlens.sources import csv_tables, envelopes, results
+from flowlens.sources import csv_tables, envelopes, rates, results
 
 HEADER = (
     "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,"
@@ -104,3 +104,14 @@ def test_results_per_client(spark, tmp_path):
     results.write_results({"q5": df}, folder, client="client_id")
     assert results.read_result(spark, f"{folder}/q5/client_id=y", "q5").collect()[0]["count"] == 2
     assert RESULTS["q5"].names == ["count"]
+
+
+def test_rate_documents(spark, tmp_path):
+    path = write(
+        tmp_path / "rates.json",
+        '{"amount": 1.0, "base": "USD", "date": "2022-09-01", "rates": {"EUR": 0.99, "JPY": 140.0}}',
+        '{"amount": 1.0, "base": "EUR", "date": "2022-09-02", "rates": {"USD": 1.01}}',
+        '{"amount": 1.0, "base": "USD", "date": "2022-09-02", "rates": {}}',
+    )
+    rows = sorted((str(r["rate_date"]), r["code"], r["rate"]) for r in rates.read_rates(spark, path).collect())
+    assert rows == [("2022-09-01", "EUR", 0.99), ("2022-09-01", "JPY", 140.0)]
