@@ -4,19 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import exact_dedup
+from flowlens.llm import exact_dedup, packing, sharding, url_filter
 from flowlens.llm.tables import table
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.concatenate_and_cut(table(spark, folder, "documents"))
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.balanced_shards(table(spark, folder, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE = {
+    "op3_url_filter": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail
+            FROM cut
+        ), urls AS (
+            SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(tail, '^[^?#]*') AS path
+            FROM parts
+        ), rules(rule, rule_host, rule_path, verdict) AS (VALUES
+            ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+            ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
+            ('com/de/', 'com', '/de/', 'block')
+        ), fits AS (
+            SELECT urls.*, rule, rules.verdict,
+                row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS place
+            FROM urls LEFT JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
