@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import exact_dedup, packing, sharding, url_filter
+from flowlens.llm import ann, exact_dedup, language_id, near_dedup, packing, pii, sharding, toxicity, url_filter
 from flowlens.llm.tables import table
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
+def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.concatenate_and_cut(table(spark, folder, "documents"))
 
@@ -24,11 +40,20 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op4_ann": op4_ann,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE = {
@@ -61,4 +86,30 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = min(doc_id) OVER same AS kept, sha256(text) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY text)""",
+    "op10_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, shingle FROM (
+                SELECT doc_id, unnest(CASE WHEN len(words) >= 5
+                    THEN [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]
+                    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+                FROM w)
+        ), sizes AS (
+            SELECT documents.doc_id, count(shingle) AS n FROM documents LEFT JOIN s ON documents.doc_id = s.doc_id GROUP BY 1
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b
+            ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM common JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b
+            WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION
+            SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+        ), smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT sizes.doc_id, n AS n_shingles, component_id, sizes.doc_id = component_id AS kept
+        FROM sizes JOIN smallest ON sizes.doc_id = smallest.doc_id""",
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.llm.tables import materialize, texts
-from flowlens.llm.word_cache import WordIds
+from flowlens.llm.word_cache import WordIds, slices
 
 SEQUENCE = 4096
 SEPARATOR = 2
@@ -56,7 +56,7 @@ def _tokenised(path: str, separator: int):
 
         part, before = TaskContext.get().partitionId(), 0
         tokenizer = word_tokenizer(path)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, "text")):
             ids, ends = tokenizer.ids(batch.column("text"))
             ids = np.insert(ids, ends, separator)
             ends = ends + np.arange(1, len(ends) + 1)

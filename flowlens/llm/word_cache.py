@@ -7,14 +7,25 @@ once per occurrence. The words are split, numbered and gathered by Arrow and Num
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held per worker; beyond that the cache starts anew. It only saves time, ids don't depend on it.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 400_000
+#: Text handled at once; a single longer text is handled alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows with about `most` bytes of text in `column`."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    share = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
+    for start, end in zip(cuts, cuts[1:]):
+        yield batch.slice(start, end - start)
 
 
 class WordIds:
