@@ -3,7 +3,8 @@ classifier trained on the outcome decides.
 
 Four kinds of spans have an exact base definition (`base_spans`) and always stay. Looser patterns
 propose further spans of the same kinds: addresses with 'at' and 'dot' written out, phone numbers
-without country code, card numbers in other groupings, long internet addresses. On every candidate,
+without country code, card numbers in other groupings, long internet addresses, and numbers that the
+base definition loses because other digits follow them. On every candidate,
 base spans included, labelers vote yes, no or nothing: the strict pattern, checksums, gazetteers of
 domain ends, card issuers and numbers kept for examples, words in the context, and the characters
 around. Expectation-maximisation over the counts of all vote patterns (a few hundred rows, whatever
@@ -52,9 +53,10 @@ _AT = re.compile(r"\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?(?=[A-Za-z0-9])")
 _SPELLED_DOMAIN = re.compile(
     r"[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?)[A-Za-z0-9-]{1,63}+)+"
 )
+_BARE_CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _GROUPED_CARD = re.compile(r"(?<![0-9])[0-9]{4}([./_]|\x20{2}|\x20-\x20)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _SHORT_CARD = re.compile(r"(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\+[0-9]{1,3}\x20?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _LONG_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 
 # Gazetteers and context words of the labelers (fixed values)
@@ -129,7 +131,7 @@ def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
         if domain:
             last = domain.end()
             found.append(("email", start, last))
-    for kind, pattern in (("ip", _LONG_IP), ("card", _GROUPED_CARD), ("card", _SHORT_CARD), ("phone", _LOCAL_PHONE)):
+    for kind, pattern in (("ip", _LONG_IP), ("card", _BARE_CARD), ("card", _GROUPED_CARD), ("card", _SHORT_CARD), ("phone", _LOCAL_PHONE)):
         found += [(kind, *m.span()) for m in pattern.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
     free, i, end = [], 0, -1
@@ -171,8 +173,9 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> str:
     return "".join(said)
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[int]:
-    """Hashed features that do not repeat a labeler's rule: shape, length, neighbours, words."""
+def features(text: str, kind: str, start: int, end: int, said_by: str) -> list[int]:
+    """Hashed features: shape, length, neighbours, words, and the votes of all labelers but the
+    strict one, which no proposed span can have."""
     span = text[start:end]
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", span))[:24]
     words = _before(text, start)
@@ -180,7 +183,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[int]:
     said = [
         "bias", f"shape {shape}", f"length {min(len(span) // 3, 10)}", f"digits {min(len(_digits(span)), 20)}",
         f"left {text[start - 1 : start]}", f"right {text[end : end + 1]}", *(f"word {w}" for w in words[-2:]),
-        *(f"next {w}" for w in following),
+        *(f"next {w}" for w in following), *(f"{name} {v}" for name, v in zip(LABELERS[1:], said_by[1:])),
     ]
     return [zlib.crc32(f"{kind} {s}".encode()) % FEATURES for s in said]
 
@@ -196,11 +199,13 @@ _CANDIDATE = pa.list_(
 
 def _candidates(text: str) -> list[dict]:
     base = base_spans(text)
-    return [
-        {"kind": k, "start": s, "stop": e, "votes": votes(text, k, s, e, strict), "features": features(text, k, s, e), "base": strict}
-        for strict, spans in ((True, base), (False, proposed_spans(text, base)))
-        for k, s, e in spans
-    ]
+    found = []
+    for strict, spans in ((True, base), (False, proposed_spans(text, base))):
+        for kind, start, stop in spans:
+            said = votes(text, kind, start, stop, strict)
+            hashed = features(text, kind, start, stop, said)
+            found.append({"kind": kind, "start": start, "stop": stop, "votes": said, "features": hashed, "base": strict})
+    return found
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
