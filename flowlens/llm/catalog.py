@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, exact_dedup, language_id, near_dedup, packing, pii, sharding, toxicity, url_filter
+from flowlens.llm import ann, exact_dedup, language_id, near_dedup, packing, pii, sentencepiece_codec, sharding, toxicity, url_filter
 from flowlens.llm.tables import table
 
 
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, folder, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, folder, "documents"), packing.vocabulary("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
