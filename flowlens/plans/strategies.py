@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.functions.predicates import amount_compares, count_compares, currency_is, format_in
+from flowlens.functions.predicates import KINDS, format_in
 from flowlens.operators import aggregates, graph, joins
 from flowlens.operators.fx import with_base_amount
 from flowlens.operators.projection import project_to
@@ -26,8 +26,7 @@ Strategy = Callable[[DataFrame, Side, Params, Keys], DataFrame]
 
 
 def _amount(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFrame:
-    kept = df.where(amount_compares(p["condition"], p["threshold"]))
-    return project_to(kept, RESULTS["q1"], by)
+    return project_to(df.where(KINDS["amount"].read(p).column()), RESULTS["q1"], by)
 
 
 def _conversion(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFrame:
@@ -38,7 +37,7 @@ def _conversion(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFrame:
 
 def _count(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFrame:
     if "threshold" in p:
-        return df.where(count_compares(p["condition"], p["threshold"]))
+        return df.where(KINDS["count"].read(p).column())
     return aggregates.row_count(df, by, side.get("groups"))
 
 
@@ -56,9 +55,10 @@ def _accounts_at_ends(df: DataFrame, side: Side, p: Params, by: Keys) -> DataFra
     return aggregates.distinct_accounts(df, by)
 
 
+# The names are those configurations use and thereby fixed values.
 STRATEGIES: dict[str, Strategy] = {
     "none": lambda df, side, p, by: df,
-    "currency": lambda df, side, p, by: df.where(currency_is(p["value"])),
+    "currency": lambda df, side, p, by: df.where(KINDS["currency"].read(p).column()),
     "amount": _amount,
     "currency_conversion": _conversion,
     "count": _count,
@@ -75,6 +75,10 @@ STRATEGIES: dict[str, Strategy] = {
     ),
     "accounts": lambda df, side, p, by: joins.with_bank_name(df, side["accounts"], by),
     "self_merge": lambda df, side, p, by: graph.two_hop_pairs(df, by),
+    # scatter_aggregator, self_merge, account_pair_count and account in one, without every pair
+    "scatter_gather": lambda df, side, p, by: graph.scatter_gather_accounts(
+        df, int(p.get("min_destinations", 5)), int(p.get("min_paths", 5)), by
+    ),
     "historical_average": lambda df, side, p, by: joins.below_average(
         df, side["averages"], float(p.get("threshold_divisor", 100)), by=by
     ),

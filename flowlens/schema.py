@@ -11,6 +11,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 _STR, _DBL, _LONG = T.StringType(), T.DoubleType(), T.LongType()
 
+# The fields of rows and answers, which whoever reads the answers relies on.
 TRANSACTIONS = _struct(
     ts=T.TimestampNTZType(),
     from_bank=_STR,

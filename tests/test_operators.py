@@ -1,5 +1,6 @@
 """Edge cases of the single operators."""
 
+import datetime
 import zlib
 
 import pytest
@@ -48,6 +49,19 @@ def test_unknown_names_are_errors():
         P.predicate({"type": "regex"})
 
 
+@pytest.mark.parametrize("spec", [
+    {"type": "date_range", "from": "2022-09-05T12:00", "to": "2022-09-06"},
+    {"type": "date_range", "from": datetime.datetime(2022, 9, 5), "to": "2022-09-06"},
+    {"type": "date_range", "from": "2022-09-07", "to": "2022-09-06"},
+    {"type": "date_range", "from": "2022-09-05"},
+    {"type": "currency", "value": "Euro", "values": ["Yen"]},
+    {"type": "payment_format_in", "values": "Wire"},
+])
+def test_wrong_fields_of_a_filter_are_errors(spec):
+    with pytest.raises(ValueError):
+        P.predicate(spec)
+
+
 def test_empty_conjunction_matches_all(tx):
     df = tx({"from_bank": "1"}, {})
     assert df.where(P.all_of([])).count() == 2
