@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.functions.cleaning import blank_to_null, parse_timestamp, to_amount
@@ -26,10 +27,39 @@ def dedupe_header(header: Sequence[str]) -> list[str]:
     return names
 
 
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under `path` by their header, repeated names told apart; empty files have none.
+
+    One task per piece of a file, which stops after the first batch of lines; only headers and the
+    names of files come to the driver, which lists them for any reader."""
+    single = spark.newSession()  # its own settings: no two files in one partition
+    single.conf.set("spark.sql.files.openCostInBytes", single.conf.get("spark.sql.files.maxPartitionBytes"))
+    lines = single.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+    firsts = lines.mapInArrow(_first_rows, "value string, file string, at bigint").where("at = 0")
+    found = firsts.groupBy("value").agg(F.collect_list("file").alias("files")).collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        names = tuple(dedupe_header(next(csv.reader([row["value"].lstrip("\ufeff")]), [])))
+        out.setdefault(names, []).extend(row["files"])
+    return out
+
+
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Header names of the files under `path`, which share one layout; [] if empty."""
-    first = spark.read.text(path).first()
-    return dedupe_header(next(csv.reader([first[0]]))) if first else []
+    """Header names of the files under `path`; [] if there are none. Files that do not share one
+    layout are an error, since a reader with one schema would swap their columns unnoticed."""
+    found = layouts(spark, path)
+    if len(found) > 1:
+        raise ValueError(f"files of {len(found)} layouts under {path}: {sorted(found)[:3]}")
+    return list(*found)
 
 
 def raw_schema(header: Sequence[str]) -> T.StructType:
@@ -39,10 +69,11 @@ def raw_schema(header: Sequence[str]) -> T.StructType:
 CSV_OPTIONS = {"header": "true", "encoding": "UTF-8", "escape": '"'}
 
 
-def _read_raw(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    header = read_header(spark, path)
+def _read_raw(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
+    """One DataFrame per layout of the files under `path`, read by name."""
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
-    return reader.schema(raw_schema(header)).csv(path) if header else spark.createDataFrame([], T.StructType())
+    found = [reader.schema(raw_schema(names)).csv(sorted(files)) for names, files in layouts(spark, path).items()]
+    return found or [spark.createDataFrame([], T.StructType())]
 
 
 def _renamed(raw: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -78,10 +109,10 @@ def accounts_from_raw(raw: DataFrame) -> DataFrame:
 
 
 def read_transactions(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
-    """Each path may have its own column order. Leave `multi_line` off unless quoted fields
+    """Columns are found by their names, file by file. Leave `multi_line` off unless quoted fields
     hold line breaks: with it a file cannot be split between tasks."""
-    return union_streams(*(transactions_from_raw(_read_raw(spark, p, multi_line)) for p in paths))
+    return union_streams(*(transactions_from_raw(raw) for p in paths for raw in _read_raw(spark, p, multi_line)))
 
 
 def read_accounts(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
-    return union_streams(*(accounts_from_raw(_read_raw(spark, p, multi_line)) for p in paths))
+    return union_streams(*(accounts_from_raw(raw) for p in paths for raw in _read_raw(spark, p, multi_line)))

@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from flowlens.schema import RESULTS, TRANSACTIONS
 from flowlens.sources import csv_tables, envelopes, rates, results
+from flowlens.streaming import ingest
 
 HEADER = (
     "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,"
@@ -52,6 +54,36 @@ def test_columns_by_name_and_absent_ones(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("7", 1.5, None), ("8", 2.5, None)]
 
 
+def test_layouts_in_one_folder(spark, tmp_path):
+    """Every file is read by its own header; a stream, which has one schema, refuses them."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.csv", "Amount Paid,From Bank", "1.5,7", "1.25,7")
+    write(folder / "b.csv", "From Bank,Amount Paid", "8,2.5")
+    write(folder / "c.csv", "Account,Account,From Bank", "x,y,9")
+    (folder / "d.csv").write_bytes(b"")
+    columns = ("from_bank", "amount_paid", "from_account", "to_account")
+    rows = csv_tables.read_transactions(spark, str(folder)).select(*columns).collect()
+    assert sorted(map(tuple, rows)) == [("7", 1.25, None, None), ("7", 1.5, None, None), ("8", 2.5, None, None), ("9", None, "x", "y")]
+    with pytest.raises(ValueError, match="3 layouts"):
+        ingest.stream_transactions(spark, str(folder))
+
+
+def test_writing_a_client_leaves_the_others(spark, tmp_path):
+    folder = str(tmp_path / "out")
+
+    def write_for(client, *amounts):
+        rows = spark.createDataFrame([(client, "b", "a", "c", "d", x) for x in amounts],
+            "client_id string, from_bank string, from_account string, to_bank string, to_account string, amount_paid double")
+        results.write_results({"q1": rows}, folder, "client_id")
+
+    write_for("x", 1.0, 2.0)
+    write_for("y", 3.0)
+    write_for("x", 4.0)
+    rows = results.read_result(spark, f"{folder}/q1", "q1", "client_id").select("client_id", "amount_paid").collect()
+    assert sorted(map(tuple, rows)) == [("x", 4.0), ("y", 3.0)]
+
+
 def test_empty_files(spark, tmp_path):
     empty = tmp_path / "e.csv"
     empty.write_bytes(b"")
