@@ -1,12 +1,12 @@
-"""The incremental forms as queries: each runs its stream over the whole table."""
+"""The incremental forms as queries: each runs its stream over the whole table, in several
+micro-batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.catalog.queries import PARAMETERS, QUARTER, ROUTES, money, query
-from flowlens.functions.predicates import date_between, format_in
-from flowlens.operators.aggregates import merge_pair_counts, row_count
+from flowlens.catalog.queries import PARAMETERS, ROUTES, money, query
+from flowlens.operators.aggregates import row_count
 from flowlens.operators.joins import union_streams
 from flowlens.operators.routing import split
 from flowlens.plans.questions import in_currency
@@ -20,8 +20,15 @@ from flowlens.streaming.replays import above_high_mark, drop_repeats, high_mark_
 from flowlens.streaming.runs import appended, run
 
 
+BATCHES = 8
+
+
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return stream_parquet(spark, folder, views.SCHEMAS[name], 1, f"{name}.parquet")
+    """The table written as several files, which come one in a batch: what belongs together is
+    spread over batches, so that every query has to carry it from one to the next."""
+    path = run_folder(spark, f"in-{name}")
+    views.table(spark, folder, name).repartition(BATCHES).write.parquet(path)
+    return stream_parquet(spark, path, views.SCHEMAS[name], 1)
 
 
 def _transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,8 +70,21 @@ def stream_format_avg(spark, folder):
 
 @query
 def stream_count(spark, folder):
-    wanted = _transactions(spark, folder).where(format_in(["Wire", "ACH"]))
-    return questions.count_stream(wanted, run_folder(spark, "stream-count"))
+    return questions.count_stream(_transactions(spark, folder), run_folder(spark, "stream-count"))
+
+
+@query
+def stream_count_empty(spark, folder):
+    """A source without any file yet, and after filtering out everything: zero both times."""
+    nothing = _transactions(spark, folder).where(F.col("payment_currency") == "Red")
+    counts = questions.count_stream(nothing, run_folder(spark, "stream-nothing"))
+    path = run_folder(spark, "no-input")
+    views.table(spark, folder, "events").limit(0).write.parquet(path)
+    empty = stream_parquet(spark, path, views.SCHEMAS["events"], 1)
+    return union_streams(
+        counts.withColumn("of", F.lit("filtered")),
+        questions.count_stream(empty, run_folder(spark, "stream-empty")).withColumn("of", F.lit("empty")),
+    )
 
 
 @query
@@ -83,14 +103,38 @@ def stream_q3(spark, folder):
 
 @query
 def stream_two_hop(spark, folder):
-    """Numbers of paths in the window, all of them."""
+    return questions.two_hop_pairs_stream(_transactions(spark, folder), run_folder(spark, "stream-two-hop"))
+
+
+@query
+def stream_q2(spark, folder):
+    usd, accounts = in_currency(_transactions(spark, folder)), views.accounts(spark, folder)
+    return questions.named_maximum_stream(usd, accounts, run_folder(spark, "stream-q2"))
 
-    def edges() -> DataFrame:
-        return in_currency(_transactions(spark, folder)).where(date_between(*QUARTER))
 
-    paths = questions.two_hop_stream(edges(), edges())
-    table = questions.rows_of(paths, run_folder(spark, "stream-two-hop"))
-    return merge_pair_counts(table, min_count=1)
+@query
+def stream_q4(spark, folder):
+    tx = _transactions(spark, folder)
+    return questions.scatter_gather_stream(tx, run_folder(spark, "stream-q4"), PARAMETERS)
+
+
+@query
+def stream_q5(spark, folder):
+    tx, rates = _transactions(spark, folder), views.rates(spark, folder)
+    return questions.micro_count_stream(tx, rates, run_folder(spark, "stream-q5"), PARAMETERS)
+
+
+@query
+def stream_restart(spark, folder):
+    """Half of the input, an end, the other half, and a start on the same folder."""
+    source, state = run_folder(spark, "in-restart"), run_folder(spark, "stream-restart")
+    items, orders = views.table(spark, folder, "lineitem"), views.table(spark, folder, "orders")
+    for odd in (0, 1):
+        part = items.where(F.col("l_orderkey") % 2 == odd)
+        part.repartition(BATCHES // 2).write.mode("append").parquet(source)
+        arrived = stream_parquet(spark, source, views.SCHEMAS["lineitem"], 1)
+        answer = questions.bank_maximum_stream(in_currency(views.transactions_of(arrived, orders)), state)
+    return answer
 
 
 @query
@@ -113,7 +157,15 @@ def high_mark(spark, folder):
 
 @query
 def stream_high_mark(spark, folder):
-    messages, path = _arrivals(_messages(spark, folder)), run_folder(spark, "stream-high-mark")
+    """The messages in the order of their arrival, four files of first deliveries and four of
+    second ones: the marks of a batch hold for all later ones."""
+    arrived = _arrivals(views.messages(spark, folder, repeats=True))
+    last = views.table(spark, folder, "events").agg(F.max("event_id")).first()[0] or 0
+    source, path, step = run_folder(spark, "in-arrivals"), run_folder(spark, "stream-high-mark"), last // 4 + 200
+    for low in (copy * 1_000_000_000_000 + part * step for copy in (1, 2) for part in range(4)):
+        part = arrived.where((F.col("arrival") >= low) & (F.col("arrival") < low + step))
+        part.coalesce(1).write.mode("append").parquet(source)
+    messages = stream_parquet(spark, source, arrived.schema, 1)
     run(messages, path, high_mark_branches("arrival", path, block=1000))
     return appended(spark, path, "rows", messages.schema)
 
@@ -121,21 +173,29 @@ def stream_high_mark(spark, folder):
 @query
 def stream_end_markers(spark, folder):
     """Signups end a client's input (ten of them complete it) and large errors cancel it; the
-    answer counts the other messages of clients that are complete."""
+    answer counts the other messages of clients that are complete. All but the errors come twice."""
     events = _stream(spark, folder, "events")
     kind = (
         F.when(F.col("event_type") == "signup", END_TYPE)
         .when((F.col("event_type") == "error") & (F.col("value") > 150), CANCEL_TYPE)
         .otherwise("raw_transactions")
     )
-    messages = events.select(F.concat(F.lit("u"), "user_id").alias("client_id"), kind.alias("type"))
+    messages = events.select(
+        F.concat(F.lit("u"), "user_id").alias("client_id"),
+        kind.alias("type"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("sender"),
+        F.col("event_id").alias("msg_id"),
+    )
+    times = F.when(F.col("sender").isNotNull(), 2).otherwise(1)
+    twice = messages.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
     job = CompletedClients(
         run_folder(spark, "stream-end-markers"),
         partial=lambda rows: row_count(rows, ["client_id"]),
         merge=lambda partials, complete: complete.join(
             partials.groupBy("client_id").agg(F.sum("count").alias("count")), "client_id", "left"
         ).fillna(0, ["count"]),
+        schema="client_id string, count bigint",
         expected_markers=10,
     )
-    job.run(messages)
+    job.run(twice)
     return job.answer(spark)

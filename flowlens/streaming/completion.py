@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
+from flowlens.streaming.replays import drop_repeats
 from flowlens.streaming.runs import numbered, run
 
 Partial = Callable[[DataFrame], DataFrame]
@@ -21,22 +22,29 @@ Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class CompletedClients:
-    """`partial` aggregates rows by client; `merge` takes partial rows and the complete
-    clients and gives the answer. Messages carry `client` and `kind`."""
+    """`partial` aggregates rows by client into rows of `schema`; `merge` takes partial rows and the
+    complete clients and gives the answer. Messages carry `client`, `kind`, a sender and a number:
+    what is delivered again, end markers included, is dropped before it counts. A message without
+    sender or number cannot be recognised and always counts."""
 
     def __init__(
         self,
         folder: str,
         partial: Partial,
         merge: Merge,
+        schema: T.StructType | str,
         expected_markers: int = 1,
         client: str = "client_id",
         kind: str = "type",
+        sender: str = "sender",
+        number: str = "msg_id",
     ):
         if expected_markers <= 0:
             raise ValueError("expected_markers must be positive")
         self.folder, self.partial, self.merge = folder, partial, merge
         self.expected, self.client, self.kind = expected_markers, client, kind
+        self.key = (client, sender, number)
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def _rows(self, messages: DataFrame) -> DataFrame:
         return messages.where(~F.col(self.kind).isin(END_TYPE, CANCEL_TYPE))
@@ -52,8 +60,7 @@ class CompletedClients:
 
     def run(self, messages: DataFrame) -> None:
         """Takes in what is available; to be called again when there is more."""
-        self.partial_schema = self.partial(self._rows(messages)).schema
-        run(messages, self.folder, self._branches)
+        run(drop_repeats(messages, self.key), self.folder, self._branches)
 
     def answer(self, spark: SparkSession) -> DataFrame:
         """The answer for every client that is complete and not cancelled since."""
@@ -69,5 +76,5 @@ class CompletedClients:
 
         markers = live("markers", markers_schema).groupBy(self.client).agg(F.sum("markers").alias("n"))
         complete = markers.where(F.col("n") >= self.expected).select(self.client)
-        partials = live("partials", self.partial_schema).join(complete, self.client, "left_semi")
+        partials = live("partials", self.schema).join(complete, self.client, "left_semi")
         return self.merge(partials, complete)

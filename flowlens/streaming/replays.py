@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.streaming.runs import BatchBranches, numbered
+from flowlens.streaming.runs import BatchBranches, of_batch
 
 KEY = ("client_id", "sender", "msg_id")
 
@@ -74,43 +71,8 @@ def high_mark_branches(arrival: str, folder: str, key: Sequence[str] = KEY, bloc
 
     def branches(batch: DataFrame, n: int) -> dict[str, DataFrame]:
         top = batch.where(_complete(key)).groupBy(*who).agg(F.max(number).alias("top"))
-        before = numbered(batch.sparkSession, folder, "marks", top.schema).where(F.col("batch") == n - 1)
-        before = before.drop("batch")
+        before = of_batch(batch.sparkSession, folder, "marks", top.schema, n - 1)
         marks = top.unionByName(before).groupBy(*who).agg(F.max("top").alias("top"))
         return {"rows": above_high_mark(batch, arrival, key, block, before), "marks": marks}
 
     return branches
-
-
-class _HighMark(StatefulProcessor):
-    """Keeps the highest number seen per client and sender."""
-
-    def __init__(self, number: str):
-        self.number = number
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("mark", T.StructType([T.StructField("top", T.LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        top = self.mark.get()[0] if self.mark.exists() else -(2**63)
-        for chunk in rows:
-            numbers = chunk[self.number]
-            earlier = numbers.cummax().shift(fill_value=top).clip(lower=top)
-            yield chunk[numbers > earlier]
-            top = max(top, int(numbers.max()))
-        self.mark.update((top,))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_above_high_mark(stream: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """The same for sources without arrival numbers: rows count in the order they come, and
-    one number per client and sender is kept as state. Rows pass through in chunks, but all
-    of one sender through one task; `high_mark_branches` or `drop_repeats` spread wider."""
-    *who, number = key
-    known = stream.where(_complete(key))
-    fresh = known.groupBy(*who).transformWithStateInPandas(
-        _HighMark(number), stream.schema, "Append", "None"
-    )
-    return fresh.unionByName(stream.where(~_complete(key)))

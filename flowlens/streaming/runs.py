@@ -10,12 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 BatchBranches = Callable[[DataFrame, int], Mapping[str, DataFrame]]
 
 
@@ -33,10 +30,12 @@ def start(
     def write(batch: DataFrame, number: int) -> None:
         outputs = branches(batch, number)
         shared = batch.persist() if len(outputs) > 1 else None
-        for name, df in outputs.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        if shared is not None:
-            shared.unpersist()
+        try:
+            for name, df in outputs.items():
+                df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        finally:
+            if shared is not None:
+                shared.unpersist()
 
     return (
         stream.writeStream.outputMode(mode)
@@ -48,15 +47,9 @@ def start(
 
 
 def run(stream: DataFrame, folder: str, branches: BatchBranches | None = None, mode: str = "append") -> None:
-    """`start` and wait. The state store is RocksDB: state larger than memory spills to
-    disk, and custom state needs it."""
-    spark = stream.sparkSession
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        start(stream, folder, branches or (lambda df, _: {"rows": df}), mode).awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE, before)
+    """`start` and wait. The recommended settings keep state in RocksDB, where it may outgrow
+    memory; they belong to the session, which several streams share."""
+    start(stream, folder, branches or (lambda df, _: {"rows": df}), mode).awaitTermination()
 
 
 def appended(spark: SparkSession, folder: str, branch: str, schema: T.StructType) -> DataFrame:
@@ -64,17 +57,20 @@ def appended(spark: SparkSession, folder: str, branch: str, schema: T.StructType
     return numbered(spark, folder, branch, schema).drop("batch")
 
 
-def latest(spark: SparkSession, folder: str, branch: str, schema: T.StructType) -> DataFrame:
-    """The last batch of a branch that is written whole each time."""
-    rows = numbered(spark, folder, branch, schema)
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+def of_batch(spark: SparkSession, folder: str, branch: str, schema: T.StructType, number: int) -> DataFrame:
+    """What one batch wrote to a branch, without a look at other batches; nothing if there is none."""
+    return _read_or_empty(spark, f"{folder}/{branch}/batch={number}", schema)
 
 
 def numbered(spark: SparkSession, folder: str, branch: str, schema: T.StructType) -> DataFrame:
     """A branch with the number of the batch that wrote each row."""
     schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return _read_or_empty(spark, f"{folder}/{branch}", schema)
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/{branch}")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
