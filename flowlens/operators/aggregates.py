@@ -25,10 +25,14 @@ def largest_per_group(
     by: Keys = (),
 ) -> DataFrame:
     """The largest amount of each group and the account that paid it. A missing amount
-    counts as zero; of equal amounts the smallest label wins."""
-    best = F.min(F.struct((-_amount(amount)).alias("negated"), F.col(label).alias("label")))
+    counts as zero; of equal amounts the smallest label wins.
+
+    The input is first reduced to one row per label by a hash aggregation. Only what is left of
+    it meets the comparison of pairs, which aggregates by sorting."""
+    per_label = df.groupBy(*by, key, label).agg(F.max(_amount(amount)).alias("most"))
+    best = F.min(F.struct((-F.col("most")).alias("negated"), F.col(label).alias("label")))
     return (
-        df.groupBy(*by, key)
+        per_label.groupBy(*by, key)
         .agg(best.alias("best"))
         .select(*by, key, F.col("best.label").alias(label), (-F.col("best.negated")).alias(amount))
     )

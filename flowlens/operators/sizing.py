@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.session import materialize
+
 SMALL_ROWS = 10_000
 SMALL_BYTES = 16 * 1024 * 1024
 
@@ -11,12 +13,13 @@ SMALL_BYTES = 16 * 1024 * 1024
 def pin_if_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
     """Compute a side that is expected to be small once and mark it for broadcast.
 
-    At most ``max_rows + 1`` rows are fetched for the check. A side over either bound
-    comes back as it was, without a hint: the join then shuffles and adaptive execution
-    splits its hot keys. Needed for aggregated sides, whose size Catalyst cannot estimate
-    and whose few keys (five payment formats, say) would make the shuffle a skewed one.
+    At most ``max_rows + 1`` rows are written to the shared folder, and rows and bytes are measured
+    there: nothing comes to the driver before it is known to be small. A side over either bound
+    comes back as it was, without a hint: the join then shuffles and adaptive execution splits its
+    hot keys. Needed for aggregated sides, whose size Catalyst cannot estimate and whose few keys
+    (five payment formats, say) would make the shuffle a skewed one.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    head = materialize(df.limit(max_rows + 1))
+    text = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0))
+    rows, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return df if rows > max_rows or size > max_bytes else F.broadcast(head)

@@ -16,7 +16,8 @@ from flowlens.operators.fx import with_base_amount
 from flowlens.operators.graph import scatter_gather_accounts
 from flowlens.operators.joins import below_average, union_streams, with_bank_name
 from flowlens.operators.projection import project_to
-from flowlens.schema import RESULTS
+from flowlens.schema import RESULTS, TRANSACTIONS
+from flowlens.session import materialize
 
 Keys = Sequence[str]
 Window = tuple[Any, Any]
@@ -97,15 +98,19 @@ def answer_all(
     by: Keys = (),
     groups: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All five over one pair of tables. Four of them share the currency filter; it is a
-    scan predicate, so each reads its own columns and days instead of a cached copy."""
-    usd = in_currency(transactions, p)
+    """All five from one pass over the transactions: the rows that any question asks for, with the
+    columns they ask for, are written to the shared folder once, and every branch reads its part
+    from there. With `by`, `groups` lists the clients that get a count even of nothing."""
+    in_base, micro = currency_is(p.currency), date_between(*p.micro) & format_in(p.micro_formats)
+    read = [*by, *(c for c in TRANSACTIONS.names if c != "receiving_currency" and c in transactions.columns)]
+    wanted = materialize(transactions.where(in_base | micro).select(*dict.fromkeys(read)))
+    usd = in_currency(wanted, p)
     return {
         "q1": small_payments(usd, p, by),
         "q2": bank_maxima(usd, accounts, by),
         "q3": far_below_average(usd, p, by),
         "q4": scatter_gather(usd, p, by),
-        "q5": micro_payment_count(transactions, rates, p, by, groups),
+        "q5": micro_payment_count(wanted, rates, p, by, groups),
     }
 
 

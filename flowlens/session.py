@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_held: set[str] = set()  # folders of this process that are still to be removed
+
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -47,9 +50,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/flowlens/{spark.sparkContext.applicationId}"
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for one run."""
-    return f"{shared_folder(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for one run. It lies in a folder of this application,
+    which `release` removes, at the latest when the driver's Python ends."""
+    own = _own_folder(spark)
+    if own not in _held:
+        _held.add(own)
+        atexit.register(_release, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _release(spark: SparkSession, folder: str) -> None:
+    if folder in _held and spark.sparkContext._jsc is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _held.discard(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. To be called when no DataFrame that
+    reads them is needed any more, and before the session is stopped."""
+    _release(spark, _own_folder(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
