@@ -7,9 +7,9 @@ _TX = """
 tx AS (
   SELECT 'client_' || CAST(o_orderkey % 3 AS STRING) AS client_id, o_orderdate AS ts,
          lpad(CAST(o_custkey % 25 AS STRING), 3, '0') AS from_bank,
-         CAST(o_custkey % 100 AS STRING) AS from_account,
+         CAST(o_custkey AS STRING) AS from_account,
          lpad(CAST(l_suppkey % 25 AS STRING), 3, '0') AS to_bank,
-         CAST(l_suppkey % 100 AS STRING) AS to_account,
+         CAST(l_suppkey AS STRING) AS to_account,
          l_extendedprice * (1 - l_discount) AS amount_received,
          CASE l_returnflag WHEN 'R' THEN 'US Dollar' WHEN 'A' THEN 'Euro'
               ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'Yen' ELSE 'Bitcoin' END END AS receiving_currency,
@@ -210,7 +210,7 @@ ORACLE: dict[str, str] = {
     "having_count_gt": _with(
         _TX,
         select="""SELECT from_bank, from_account, to_bank, to_account, count(*) AS count
-                  FROM tx GROUP BY 1, 2, 3, 4 HAVING count(*) > 5""",
+                  FROM tx GROUP BY 1, 2, 3, 4 HAVING count(*) > 2""",
     ),
     "filter_format_in": _with(_TX, select="SELECT * FROM tx WHERE payment_format IN ('Wire', 'ACH')"),
     "filter_date_range": _with(_TX, select=f"SELECT * FROM tx WHERE {_in('january')}"),
@@ -260,7 +260,7 @@ bytes AS (SELECT *, list_transform(string_split(bank || '_' || account, ''), lam
     "agg_pair_count": _with(
         _TX,
         select="""SELECT from_bank, from_account, to_bank, to_account, count(*) AS count
-                  FROM tx GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5""",
+                  FROM tx GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
     ),
     "agg_count": _with(_TX, select="SELECT count(*) AS count FROM tx"),
     "agg_distinct_accounts": _with(
@@ -268,27 +268,26 @@ bytes AS (SELECT *, list_transform(string_split(bank || '_' || account, ''), lam
         select="SELECT from_bank AS bank, from_account AS account FROM tx UNION SELECT to_bank, to_account FROM tx",
     ),
     "scatter_origins": _with(
-        _TX, _USD,
-        select=f"""SELECT from_bank, from_account, count(*) AS destinations FROM (
-            SELECT DISTINCT from_bank, from_account, to_bank, to_account FROM usd WHERE {_in('quarter')})
-          GROUP BY 1, 2 HAVING count(*) >= 5""",
+        _TX,
+        select="""SELECT from_bank, from_account, count(*) AS destinations FROM (
+            SELECT DISTINCT from_bank, from_account, to_bank, to_account FROM tx)
+          GROUP BY 1, 2 HAVING count(*) >= 30""",
     ),
     "scatter_transactions": _with(
-        _TX, _USD,
-        f"""
-w AS (SELECT * FROM usd WHERE {_in('quarter')}),
+        _TX,
+        """
 h AS (SELECT from_bank, from_account FROM (
-        SELECT DISTINCT from_bank, from_account, to_bank, to_account FROM w)
-      GROUP BY 1, 2 HAVING count(*) >= 5)""",
-        select="""SELECT w.from_bank, w.from_account, to_bank, to_account, amount_paid
-          FROM w JOIN h ON w.from_bank = h.from_bank AND w.from_account = h.from_account""",
+        SELECT DISTINCT from_bank, from_account, to_bank, to_account FROM tx)
+      GROUP BY 1, 2 HAVING count(*) >= 30)""",
+        select="""SELECT tx.from_bank, tx.from_account, to_bank, to_account, amount_paid
+          FROM tx JOIN h ON tx.from_bank = h.from_bank AND tx.from_account = h.from_account""",
     ),
     "join_bank_name": _with(
         _TX, _ACC,
         select="""SELECT from_bank, from_account, amount_paid, coalesce(bank_name, 'Unknown') AS bank_name
           FROM tx LEFT JOIN names ON regexp_replace(from_bank, '^0+', '') = k""",
     ),
-    "join_two_hop": _with(_TX, _USD, _EDGES, select=_two_hop("edges")),
+    "join_two_hop": _with(_TX, _EDGES.replace("FROM usd", "FROM tx"), select=_two_hop("edges")),
     "join_below_average": _with(
         _TX,
         select=f"""SELECT from_bank, from_account, tx.payment_format, amount_paid FROM tx JOIN (
@@ -360,6 +359,46 @@ for _key, _op, _threshold in (("lt", "<", 1500), ("eq", "=", 5743.5575), ("gt",
                    FROM tx WHERE amount_received {_op} CAST({_threshold} AS DOUBLE)""",
     )
 
+ORACLE["two_hop_grid"] = ORACLE["join_two_hop"]
+ORACLE["q4_pruned"] = ORACLE["q4_scatter_gather"]
+ORACLE["q4_distinct_middle"] = _with(
+    _TX, _USD,
+    """
+e AS (SELECT DISTINCT from_bank, from_account, to_bank, to_account FROM usd),
+h AS (SELECT from_bank, from_account FROM e GROUP BY 1, 2 HAVING count(*) >= 5),
+s AS (SELECT e.* FROM e JOIN h ON e.from_bank = h.from_bank AND e.from_account = h.from_account),
+p AS (SELECT l.from_bank, l.from_account, r.to_bank, r.to_account
+      FROM s l JOIN s r ON l.to_bank = r.from_bank AND l.to_account = r.from_account
+      WHERE NOT (l.from_bank = r.to_bank AND l.from_account = r.to_account)
+      GROUP BY ALL HAVING count(*) >= 4)""",
+    select="""SELECT from_bank AS bank, from_account AS account FROM p
+              UNION SELECT to_bank, to_account FROM p""",
+)
+ORACLE["join_not_broadcast"] = _with(
+    _TX, _ACC, _RATES, _ASOF,
+    """
+b AS (SELECT from_bank, tx.payment_format FROM tx JOIN (
+        SELECT payment_format, sum(amount_paid) / count(*) AS av FROM tx
+        WHERE CAST(ts AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-01-31' GROUP BY 1) a
+      ON tx.payment_format = a.payment_format WHERE amount_paid < av / 20),
+g AS (SELECT from_bank, count(*) AS below FROM b GROUP BY 1),
+c AS (SELECT from_bank, count(*) AS converted FROM usd_asof GROUP BY 1)""",
+    select="""SELECT g.from_bank, coalesce(bank_name, 'Unknown') AS bank_name, below, converted
+              FROM g JOIN c ON g.from_bank = c.from_bank
+              LEFT JOIN names ON regexp_replace(g.from_bank, '^0+', '') = k""",
+)
+ORACLE["scan_mixed_layouts"] = """
+    SELECT CASE WHEN o_orderkey % 3 < 2 THEN date_trunc('minute', o_orderdate) END AS ts,
+           CAST(o_custkey AS STRING) AS from_account,
+           CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey AS STRING) END AS to_account, o_totalprice AS amount_paid
+    FROM orders"""
+ORACLE["sink_results"] = _with(
+    _TX, _USD,
+    select="""SELECT from_bank, from_account, to_bank, to_account, amount_paid, client_id FROM usd
+              WHERE amount_received < 2000 AND client_id IN ('client_0', 'client_1')""",
+)
+ORACLE["sink_chunks"] = "SELECT count(*) AS rows, true AS bounded FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
 # The merged forms must equal the plain ones.
 ORACLE["agg_pair_count_merge"] = ORACLE["agg_pair_count"]
 ORACLE["union_averages"] = ORACLE["agg_format_avg"]
@@ -369,20 +408,17 @@ ORACLE["stream_q1"] = ORACLE["q1_small_usd"]
 ORACLE["stream_bank_max"] = _with(_TX, _USD, select=_bank_max("usd"))
 ORACLE["stream_format_avg"] = ORACLE["agg_format_avg"]
 ORACLE["stream_routes"] = ORACLE["route_multi"]
-ORACLE["stream_count"] = _with(
-    _TX, select="SELECT count(*) AS count FROM tx WHERE payment_format IN ('Wire', 'ACH')"
-)
+ORACLE["stream_count"] = ORACLE["agg_count"]
+ORACLE["stream_count_empty"] = "SELECT CAST(0 AS BIGINT) AS count, 'filtered' AS of UNION ALL SELECT 0, 'empty'"
+ORACLE["stream_q2"] = ORACLE["q2_bank_max"]
+ORACLE["stream_q4"] = ORACLE["q4_scatter_gather"]
+ORACLE["stream_q5"] = ORACLE["q5_micro_count"]
+ORACLE["stream_restart"] = ORACLE["stream_bank_max"]
 ORACLE["stream_count_by_client"] = _with(
     _TX, select="SELECT client_id, count(*) AS count FROM tx GROUP BY 1"
 )
 ORACLE["stream_q3"] = ORACLE["q3_below_avg"]
-ORACLE["stream_two_hop"] = _with(
-    _TX,
-    f"""
-usd AS (SELECT * FROM tx WHERE payment_currency = 'US Dollar' AND {_in('quarter')})""",
-    _EDGES,
-    select=_two_hop("edges"),
-)
+ORACLE["stream_two_hop"] = ORACLE["join_two_hop"]
 # Only messages that name their sender can be recognised as repeated; purchases do.
 ORACLE["stream_dedup"] = _with(_MSG, select="SELECT * FROM msg")
 ORACLE["high_mark"] = _with(

@@ -13,7 +13,7 @@ from flowlens.plans import questions
 from flowlens.plans.stages import run_stages
 from flowlens.schema import FROM, RESULTS, TO, TRANSACTIONS
 from flowlens.session import run_folder
-from flowlens.sources import csv_tables, envelopes, sample_views as views
+from flowlens.sources import csv_tables, envelopes, results, sample_views as views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +84,50 @@ def scan_accounts(spark, folder):
     return csv_tables.read_accounts(spark, path)
 
 
+@query
+def scan_mixed_layouts(spark, folder):
+    """One folder of files with other column orders, a missing column and a repeated name."""
+    orders = _orders(spark, folder).select(
+        F.col("o_custkey").cast("string").alias("a"), F.col("o_orderkey").cast("string").alias("b"),
+        F.col("o_totalprice").cast("string").alias("paid"), F.date_format("o_orderdate", "yyyy/MM/dd HH:mm").alias("at"),
+        (F.col("o_orderkey") % 3).alias("part"),
+    )
+    layouts = [
+        {"Timestamp": "at", "Account": "a", "Account.1": "b", "Amount Paid": "paid"},
+        {"Amount Paid": "paid", "Account": "a", "Account.1": "b", "Timestamp": "at"},
+        {"Account": "a", "Amount Paid": "paid"},
+    ]
+    path = run_folder(spark, "mixed-csv")
+    for part, layout in enumerate(layouts):
+        names = [n.removesuffix(".1") for n in layout]
+        rows = orders.where(F.col("part") == part).select(*layout.values())
+        header = spark.createDataFrame([tuple(names)], rows.schema)
+        # the header is a row here, since a DataFrame cannot hold one name twice
+        header.coalesce(1).unionByName(rows).coalesce(1).write.mode("append").csv(path)
+    tx = csv_tables.read_transactions(spark, path)
+    return tx.select("ts", "from_account", "to_account", "amount_paid")
+
+
+@query
+def sink_results(spark, folder):
+    """Answers of two clients written one after the other, and the first once more."""
+    path, by = run_folder(spark, "sink-results"), ["client_id"]
+    small = questions.small_payments(_usd(spark, folder), PARAMETERS, by)
+    for client in ("client_0", "client_1", "client_0"):
+        results.write_results({"q1": small.where(F.col("client_id") == client)}, path, "client_id")
+    return results.read_result(spark, f"{path}/q1", "q1", "client_id")
+
+
+@query
+def sink_chunks(spark, folder):
+    """Rows per file of a result written in bounded files."""
+    path = run_folder(spark, "sink-chunks")
+    tx = questions.project_to(views.transactions(spark, folder), RESULTS["q1"])
+    results.write_results({"q1": tx}, path, max_records_per_file=results.CHUNK_ROWS)
+    rows = results.read_result(spark, f"{path}/q1", "q1").groupBy(F.input_file_name().alias("file")).count()
+    return rows.agg(F.sum("count").alias("rows"), (F.max("count") <= results.CHUNK_ROWS).alias("bounded"))
+
+
 @query
 def clean_fields(spark, folder):
     raw = _orders(spark, folder).select(
@@ -180,7 +224,7 @@ QUERIES["filter_amount_gt"] = _amount_filter(">", 90000)
 @query
 def having_count_gt(spark, folder):
     pairs = aggregates.count_pairs(views.transactions(spark, folder), min_count=1)
-    return pairs.where(P.count_compares(">", 5))
+    return pairs.where(P.count_compares(">", 2))
 
 
 @query
@@ -269,7 +313,7 @@ def agg_format_avg(spark, folder):
 
 @query
 def agg_pair_count(spark, folder):
-    return aggregates.count_pairs(views.transactions(spark, folder))
+    return aggregates.count_pairs(views.transactions(spark, folder), min_count=2)
 
 
 @query
@@ -279,7 +323,7 @@ def agg_pair_count_merge(spark, folder):
     inside = P.date_between(*QUARTER)
     counted = aggregates.count_pairs(tx.where(inside), min_count=1)
     plain = tx.where(~inside).select(*FROM, *TO)
-    return aggregates.merge_pair_counts(joins.union_streams(counted, plain))
+    return aggregates.merge_pair_counts(joins.union_streams(counted, plain), min_count=2)
 
 
 @query
@@ -294,13 +338,13 @@ def agg_distinct_accounts(spark, folder):
 
 @query
 def scatter_origins(spark, folder):
-    return graph.scatter_origins(_usd(spark, folder).where(P.date_between(*QUARTER)))
+    return graph.scatter_origins(views.transactions(spark, folder), min_destinations=30)
 
 
 @query
 def scatter_transactions(spark, folder):
-    usd = _usd(spark, folder).where(P.date_between(*QUARTER))
-    return graph.scatter_transactions(usd.select(*FROM, *TO, "amount_paid"))
+    tx = views.transactions(spark, folder).select(*FROM, *TO, "amount_paid")
+    return graph.scatter_transactions(tx, min_destinations=30)
 
 
 # --- joins and sets ------------------------------------------------------------------
@@ -314,7 +358,26 @@ def join_bank_name(spark, folder):
 
 @query
 def join_two_hop(spark, folder):
-    return graph.two_hop_pairs(_usd(spark, folder))
+    return graph.two_hop_pairs(views.transactions(spark, folder))
+
+
+@query
+def two_hop_grid(spark, folder):
+    """The same with every middle of some weight cut into a grid."""
+    return graph.two_hop_pairs(views.transactions(spark, folder), cell_pairs=500)
+
+
+@query
+def join_not_broadcast(spark, folder):
+    """The joins with small sides, by shuffle: nothing counts as small."""
+    tx = views.transactions(spark, folder)
+    averages = aggregates.average_per_group(tx.where(P.date_between(*JANUARY)))
+    below = joins.below_average(tx.select(*FROM, *RESULTS["q3"].names[2:]), averages, 20, small_rows=0)
+    named = joins.with_bank_name(below, views.accounts(spark, folder), small_rows=0)
+    dated = tx.select(*FROM, "ts", "payment_currency", "payment_format", "amount_paid")
+    converted = fx.with_base_amount(dated, views.rates(spark, folder), as_of=True, rate_rows=0)
+    counted = converted.groupBy("from_bank").agg(F.count("*").alias("converted"))
+    return named.groupBy("from_bank", "bank_name").agg(F.count("*").alias("below")).join(counted, "from_bank")
 
 
 @query
@@ -415,6 +478,19 @@ def q4_scatter_gather(spark, folder):
     return questions.scatter_gather(_usd(spark, folder), PARAMETERS)
 
 
+@query
+def q4_pruned(spark, folder):
+    """Q4 by the form that doesn't enumerate every pair, grids included."""
+    usd = _usd(spark, folder).where(P.date_between(*QUARTER))
+    return graph.scatter_gather_accounts(usd, 5, PARAMETERS.min_paths, direct_pairs=0, cell_pairs=500)
+
+
+@query
+def q4_distinct_middle(spark, folder):
+    """Paths counted in middle accounts, over all dollar payments."""
+    return graph.scatter_gather_accounts(_usd(spark, folder), 5, 4, distinct_middle=True)
+
+
 @query
 def q5_micro_count(spark, folder):
     tx, rates = views.transactions(spark, folder), views.rates(spark, folder)
@@ -424,11 +500,11 @@ def q5_micro_count(spark, folder):
 @query
 def all_queries_by_client(spark, folder):
     by = ["client_id"]
-    tx = views.transactions(spark, folder)
-    clients = tx.select("client_id").distinct()
     each_client = F.explode(F.array(*(F.lit(f"client_{i}") for i in range(3))))
     accounts = views.accounts(spark, folder).withColumn("client_id", each_client)
-    answers = questions.answer_all(tx, accounts, views.rates(spark, folder), PARAMETERS, by, clients)
+    clients = accounts.select("client_id").distinct()
+    tx, rates = views.transactions(spark, folder), views.rates(spark, folder)
+    answers = questions.answer_all(tx, accounts, rates, PARAMETERS, by, clients)
     return questions.as_one_table(answers, by)
 
 
@@ -476,15 +552,11 @@ STAGES = {
             "strategy": {"type": "historical_average", "threshold_divisor": 10},
         },
         {"input": "below", "output": "q3", "strategy": [{"type": "query_result"}, {"query": 3}]},
-        {"input": "scatter", "output": "edges", "strategy": {"type": "scatter_group"}},
-        {"input": "edges", "output": "hub_edges", "strategy": {"type": "scatter_aggregator"}},
-        {"input": "hub_edges", "output": "paths", "strategy": {"type": "self_merge"}},
         {
-            "input": "paths",
-            "output": "pairs",
-            "strategy": {"type": "account_pair_count", "min_count": 3},
+            "input": "scatter",
+            "output": "q4",
+            "strategy": {"type": "scatter_gather", "min_paths": 3},
         },
-        {"input": "pairs", "output": "q4", "strategy": {"type": "account"}},
         {
             "input": "transactions",
             "routes": [_dates("q5_dates", "micro", QUARTER)],

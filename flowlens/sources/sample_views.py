@@ -29,11 +29,13 @@ def _bank(key: str) -> Column:
 
 
 def _account(key: str) -> Column:
-    return (F.col(key) % 100).cast("string")
+    return F.col(key).cast("string")
 
 
 def transactions_of(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Customers pay suppliers; each order belongs to one of three clients."""
+    """Customers pay suppliers, each by its own number as account; a number belongs to one of 25
+    banks. Customers and suppliers of one number are one account, which joins payments to paths.
+    Each order belongs to one of three clients."""
     currency = (
         F.when(F.col("l_returnflag") == "R", "US Dollar")
         .when(F.col("l_returnflag") == "A", "Euro")

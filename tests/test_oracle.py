@@ -6,6 +6,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as contract
+from flowlens.catalog.oracle import ORACLE
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -16,9 +17,9 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, con, name):
-    _, difference = compare(contract.queries()[name](spark, FOLDER), con, contract.oracle_sql()[name])
+    _, difference = compare(contract.queries()[name](spark, FOLDER), con, ORACLE[name])
     assert difference is None
 
 
