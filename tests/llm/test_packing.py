@@ -10,6 +10,7 @@ ROWS = [
     (1, "Hello, WORLD! it's 42 o'clock"), (2, None), (3, ""), (4, " \t\n"), (5, "a" * 4000), (6, "word " * 3000),
     (7, "naïve ΣΑΣ İstanbul é x y z <|endoftext|> don't"), (None, "no id"), (8, "same"), (8, "same"),
     (9, "don'\tt 's\x0b's … ½ ①"),
+    (10, "(Hello), “quoted” Ünïcödé-STRASSE; ß… àÀÿ×÷ e\u0301 x\u0301y <|end|> a|b [x] {y} ~z~ l'été 3rd A1b ﬁ ª º"),
 ]
 
 
