@@ -14,12 +14,14 @@ be short; `padded_length` is what it is padded to: nothing at a power of two, el
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.llm.tables import materialize, texts
@@ -36,18 +38,64 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters that the tokenizer's first step takes as such, and ASCII signs that always end a run of
+#: them. No apostrophe, which may begin a contraction, and no bar, which special tokens hold.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{}~"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+
+
+def _cut(texts_: pa.Array) -> pa.Array:
+    """Texts cut at white space and between letters and signs, A-Z in lower case: both are what the
+    tokenizer does first, and few distinct words are left. A text that may hold special tokens,
+    which are written in lower case, keeps its letters."""
+    low = pc.if_else(pc.match_substring(texts_, "<|"), texts_, pc.ascii_lower(texts_))
+    for before, after in ((_LETTERS, _SIGNS), (_SIGNS, _LETTERS)):
+        low = pc.replace_substring_regex(low, f"([{before}])([{after}])", "\\1 \\2")
+    return pc.ascii_split_whitespace(low)
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write Latin-1 letters: each byte of UTF-8 as a character of its own.
+    Printable bytes stand for themselves, the others are numbered from 256 (a fixed rule)."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    sign = {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Words:
+    """Ids of words. Those of letters alone go straight to the merges, past the tokenizer's
+    normaliser and splitting, which take most of its time and would change nothing. All others take
+    the whole way."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model)
+        self.signs = _byte_letters()
+        sample = ["word", "Ünïcödé", "STRASSE", "ß", "ÿÀ"]
+        self.direct = self._whole(sample) == self._letters(sample)
+
+    def _whole(self, words: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: Sequence[str]) -> list[list[int]]:
+        written = [w.lower() if w.isascii() else w.lower().translate(self.signs) for w in words]
+        return [e.ids for e in self.merges.encode_batch_fast(written, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        plain = [self.direct and _PLAIN.fullmatch(w) is not None for w in words]
+        letters = iter(self._letters([w for w, p in zip(words, plain) if p]))
+        others = iter(self._whole([w for w, p in zip(words, plain) if not p]))
+        return [next(letters if p else others) for p in plain]
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordIds:
     """The tokenizer of a file that drops white space and never joins words across it. The splits
     at white space come first in it, and its normaliser works character by character."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(words):
-        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    return WordIds(encode)
+    return WordIds(_Words(path).encode, _cut)
 
 
 def _tokenised(path: str, separator: int):

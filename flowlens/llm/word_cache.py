@@ -14,18 +14,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held per worker; beyond that the cache starts anew. It only saves time, ids don't depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Text handled at once; a single longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of rows with about `most` bytes of text in `column`."""
+    """The batch in slices of rows with about `most` bytes of text in `column`. The rows are copied:
+    some string kernels of Arrow misread arrays that begin inside another one's buffers."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     share = np.cumsum(sizes, dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
     for start, end in zip(cuts, cuts[1:]):
-        yield batch.slice(start, end - start)
+        yield batch.take(pa.array(np.arange(start, end)))
 
 
 class WordIds:
@@ -43,13 +44,18 @@ class WordIds:
         self._known: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if len(self._known) + len(words) > self._max:
-            self._known = {}
-        new = [w for w in words if w not in self._known]
+        found = list(map(self._known.get, words))
+        new = [i for i, f in enumerate(found) if f is None]
         if new:
-            for word, ids in zip(new, self._encode(new)):
-                self._known[word] = np.asarray(ids, dtype=self._dtype).tobytes()
-        return [self._known[w] for w in words]
+            if len(self._known) + len(new) > self._max:
+                self._known = {}
+            ids = self._encode([words[i] for i in new])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            raw = np.fromiter((x for row in ids for x in row), self._dtype, int(sizes.sum())).tobytes()
+            ends = (np.cumsum(sizes) * self._dtype.itemsize).tolist()
+            for i, start, end in zip(new, [0, *ends], ends):
+                found[i] = self._known[words[i]] = raw[start:end]
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, end of each text's ids). NULL counts as empty."""
@@ -65,6 +71,7 @@ class WordIds:
         per_word = sizes[which]
         word_ends = np.cumsum(per_word)
         # the i-th id of an occurrence stands i places after the word's first id
-        at = np.arange(word_ends[-1]) + np.repeat(firsts[which] - (word_ends - per_word), per_word)
+        at = np.repeat(firsts[which] - (word_ends - per_word), per_word)
+        at += np.arange(word_ends[-1])
         before = np.concatenate([[0], word_ends])
         return flat[at], before[ends[1:] - ends[0]]
