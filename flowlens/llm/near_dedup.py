@@ -5,19 +5,21 @@ lists of these retained values say which sets overlap. Sets are handled once how
 have them ("nodes"). The steps:
 
 1. One pass over the texts gives per document the size, digest and sketch of its set.
-2. Values retained by a single node are dropped. Lists of up to HOT nodes are used as they are. In
-   longer ones (passages that many documents share, large groups of near copies) only nodes stay
-   that can need them: a pair without a common value in a short list has all its common values in
-   long ones, and it has at least `least_shared` of them. A node with fewer long lists than that is
-   out; one with h takes part in the h - least_shared + 1 shortest ones, since two sets that share
-   so many of their values, in whatever fixed order, share one of the first.
-3. Every list is first linked to its smallest node only, a star. Pairs are estimated on the sketch
-   of the union (the smallest SKETCH values of both) and those not clearly below the threshold are
-   counted exactly on full sets, which are made again from the texts of the nodes concerned.
+2. Values retained by a single node are dropped. Lists of up to HOT nodes are used as they are. For
+   longer ones (passages that many documents share, large groups of near copies) only nodes count
+   that can need them: a pair without a common value in a short list has all its common retained
+   values in long ones, and it has at least `least_shared` of them. For these nodes the lists are
+   made anew from full sets, rarest values first: two sets of the threshold share one of the first
+   n / 4 + 1 values of each, and the place of their first common value bounds what they can share
+   (prefix and positional filter). What nobody else has comes first and uses the prefix up, so a
+   text that only resembles a large group is soon out.
+3. Every list is first linked to one node only, a star around its least peculiar one. Pairs are
+   estimated on the sketch of the union (the smallest SKETCH values of both) and those not clearly
+   below the threshold are counted exactly on full sets, made again from the texts concerned.
 4. Inside a list, pairs within one component need no further look, as only components are asked
    for. Pairs across components of a list are tested in a second round: members outside the list's
    largest component against all others. Nothing is capped or left out in either round; a group of
-   n near copies costs n pairs instead of n * n / 2.
+   n near copies costs about n pairs instead of n * n / 2.
 
 Two sets that reach the threshold miss each other only if fewer than `least_shared` of the union's
 64 smallest values are common where three quarters are expected (5.8 standard deviations), or if the
@@ -130,22 +132,40 @@ def least_shared(n: Column, size: int) -> Column:
     return F.when(n <= size, sure).otherwise(F.greatest(F.lit(likely), sure)).cast("int")
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Sizes alone leave the threshold in reach."""
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
+def _may_link(n_a: str, place_a: str, n_b: str, place_b: str) -> Column:
+    """Sizes, and the places of a first common value, leave the threshold in reach."""
+    most = F.least(F.col(n_a) - F.col(place_a), F.col(n_b) - F.col(place_b))
+    return most * (100 + PERCENT) >= (F.col(n_a) + F.col(n_b)) * PERCENT
 
 
-def inverted_lists(nodes: DataFrame, size: int = SKETCH, hot: int = HOT) -> DataFrame:
-    """(value, node, n) as far as a value can show a pair: see step 2 above."""
+def inverted_lists(documents: DataFrame, nodes: DataFrame, size: int = SKETCH, hot: int = HOT) -> DataFrame:
+    """(long, value, node, n, own, place) as far as a value can show a pair: see step 2 above. `place`
+    is that of the value in its set, `own` the number of values the set shares with nobody; both are
+    0 in short lists, which are not ordered."""
     entries = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     entries = materialize(entries.join(shared, "value"))
-    short = entries.where(F.col("df") <= hot).select("value", "node", "n")
-    # At most `size` rows a node, so that the sorting of a node's lists is bounded.
-    held = entries.where(F.col("df") > hot).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
-    needed = F.size("held") - least_shared(F.col("n"), size) + 1
-    long = held.where(needed > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), needed)).alias("one"))
-    return short.unionByName(long.select("one.value", "node", "n"))
+    none = F.lit(0).alias
+    short = entries.where(F.col("df") <= hot).select(F.lit(False).alias("long"), "value", "node", "n", none("own"), none("place"))
+    held = entries.where(F.col("df") > hot).groupBy("node", "n").agg(F.count(F.lit(1)).alias("held"))
+    members = held.where(F.col("held") >= least_shared(F.col("n"), size)).select("node")
+    return short.unionByName(_long_lists(full_sets(documents, nodes.join(members, "node", "left_semi"))))
+
+
+def _long_lists(sets: DataFrame) -> DataFrame:
+    """Lists over full sets, each set in those of its first n / 4 + 1 values, the rarest first. What
+    is gathered for a set is part of its own shingles."""
+    values = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("value"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = values.join(shared, "value").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared")
+    )
+    own = F.col("n") - F.size("shared")
+    first = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1 - own
+    placed = ordered.where(first > 0).select("node", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), first)))
+    return placed.select(
+        F.lit(True).alias("long"), "col.value", "node", F.col("n").cast("bigint").alias("n"), "own", (F.col("own") + F.col("pos")).alias("place")
+    )
 
 
 def _estimated(size: int):
@@ -189,9 +209,12 @@ def _sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
-    likely = _sides(pairs, nodes, "n_shingles", "sketch").mapInArrow(_estimated(size), "a bigint, b bigint")
+def linked(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold. Full sets are made only for nodes of pairs that
+    the estimate leaves."""
+    likely = materialize(_sides(pairs, nodes, "n_shingles", "sketch").mapInArrow(_estimated(size), "a bigint, b bigint"))
+    concerned = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = full_sets(documents, nodes.select("node", "set_digest", "doc_id").join(concerned, "node"))
     return materialize(_sides(likely, sets, "set").mapInArrow(_confirmed, "a bigint, b bigint"))
 
 
@@ -218,7 +241,7 @@ def _made_again(held):
 def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, set) of the given nodes. A filter of fixed size over their documents' ids lets the
     pass over the texts leave out nearly all others; texts are not shuffled."""
-    rows = texts(documents)
+    rows, nodes = texts(documents), materialize(nodes)
     slots = nodes.select(_member_slots(F.col("doc_id")).alias("s"))
     bits = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits")
@@ -230,9 +253,9 @@ def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     made = rows.where(F.col("doc_id").isNotNull()).select("text", _member_slots(F.col("doc_id")).alias("slot")).mapInArrow(
         _made_again(held), "set_digest binary, set array<bigint>"
     )
-    found = nodes.select("node", "set_digest").join(made, "set_digest")
-    # documents that share a slot with a member bring sets of other nodes or the same set again
-    return materialize(found.select("node", "set").dropDuplicates(["node"]))
+    # documents that share a slot with a member bring sets of other nodes, or the same set again
+    once = made.groupBy("set_digest").agg(F.first("set").alias("set"))
+    return materialize(nodes.select("node", "set_digest").join(once, "set_digest").select("node", "set"))
 
 
 def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -242,36 +265,38 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_components(documents: DataFrame, nodes: DataFrame, size: int, hot: int) -> DataFrame:
     """(node, component) of every node that some list still holds."""
-    lists = materialize(inverted_lists(nodes, size, hot))
-    heads = lists.groupBy("value").agg(
-        F.min("node").alias("head"), F.min_by("n", "node").alias("n_head"), F.count(F.lit(1)).alias("df")
+    key = ["long", "value"]
+    lists = materialize(inverted_lists(documents, nodes, size, hot))
+    heads = lists.groupBy(*key).agg(F.min(F.struct("own", "node", "n", "place")).alias("h"), F.count(F.lit(1)).alias("df"))
+    heads = materialize(
+        heads.where("df > 1").select(*key, F.col("h.node").alias("head"), F.col("h.n").alias("n_head"), F.col("h.place").alias("place_head"))
     )
-    heads = materialize(heads.where("df > 1").drop("df"))
-    lists = lists.join(heads, "value")
-    star = lists.where((F.col("node") != F.col("head")) & _may_link("n", "n_head"))
-    star = star.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    lists = lists.join(heads, key)
+    star = lists.where((F.col("node") != F.col("head")) & _may_link("n", "place", "n_head", "place_head"))
+    star = star.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     listed = nodes.join(lists.select("node").distinct(), "node", "left_semi")
-    sets = full_sets(documents, listed)
-    first = linked(star, nodes, sets, size)
+    first = linked(documents, star, nodes, size)
 
-    told = materialize(lists.join(_components(first, listed), "node"))
-    sizes = told.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("value").agg(
+    told = materialize(lists.drop("n_head", "place_head").join(_components(first, listed), "node"))
+    sizes = told.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy(*key).agg(
         F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).getField("component").alias("main")
     )
-    open_ = told.join(main.where("parts > 1").drop("parts"), "value")
-    outside = open_.where("component <> main").select(
-        "value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"), "head"
-    )
-    others = open_.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"), "main")
-    across = outside.join(others, "value").where(
+    open_ = told.join(main.where("parts > 1").drop("parts"), key)
+
+    def side(name: str, *others: str) -> DataFrame:
+        own = {"node": name, "n": f"n_{name}", "place": f"place_{name}", "component": f"of_{name}"}
+        return open_.select(*key, *(F.col(old).alias(new) for old, new in own.items()), *others)
+
+    outside = side("a", "head", "main").where("of_a <> main").drop("main")
+    across = outside.join(side("b", "main"), key).where(
         (F.col("of_a") != F.col("of_b"))
         & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & (F.col("a") != F.col("head")) & (F.col("b") != F.col("head"))
-        & _may_link("n_a", "n_b")
+        & _may_link("n_a", "place_a", "n_b", "place_b")
     )
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = linked(across, nodes, sets, size)
+    second = linked(documents, across, nodes, size)
     return _components(first.unionByName(second), listed)
 
 
