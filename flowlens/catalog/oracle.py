@@ -133,13 +133,13 @@ def _ends(client: str) -> str:
     hub = f"h.{client}" if client else ""
     return f"""
 ends_{name} AS (
-  WITH w AS (SELECT {client}from_bank, from_account, to_bank, to_account FROM usd WHERE {_in('quarter')}),
+  WITH w AS (SELECT {client}from_bank, from_account, to_bank, to_account FROM usd WHERE {_in('year')}),
   h AS (SELECT {client}from_bank, from_account FROM (SELECT DISTINCT * FROM w) GROUP BY ALL HAVING count(*) >= 5),
   s AS (SELECT w.* FROM w JOIN h ON w.from_bank = h.from_bank AND w.from_account = h.from_account{on('w', 'h')})
   SELECT {lead}l.from_bank, l.from_account, r.to_bank, r.to_account
   FROM s l JOIN s r ON l.to_bank = r.from_bank AND l.to_account = r.from_account{on('l', 'r')}
   WHERE NOT (l.from_bank = r.to_bank AND l.from_account = r.to_account)
-  GROUP BY ALL HAVING count(*) >= 3)"""
+  GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 _COLUMNS = {

@@ -17,18 +17,19 @@ from flowlens.sources import csv_tables, envelopes, results, sample_views as vie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-JANUARY, FEB_MARCH, QUARTER = (
+JANUARY, FEB_MARCH, QUARTER, YEAR = (
     ("1997-01-01", "1997-01-31"),
     ("1997-02-01", "1997-03-31"),
     ("1997-01-01", "1997-03-31"),
+    ("1997-01-01", "1997-12-31"),
 )
 PARAMETERS = questions.Parameters(
     small_amount=2000,
     history=JANUARY,
     candidates=FEB_MARCH,
     divisor=10,
-    scatter=QUARTER,
-    min_paths=3,
+    scatter=YEAR,
+    min_paths=2,
     micro=QUARTER,
     micro_amount=2000,
     as_of_rates=True,
@@ -481,7 +482,7 @@ def q4_scatter_gather(spark, folder):
 @query
 def q4_pruned(spark, folder):
     """Q4 by the form that doesn't enumerate every pair, grids included."""
-    usd = _usd(spark, folder).where(P.date_between(*QUARTER))
+    usd = _usd(spark, folder).where(P.date_between(*YEAR))
     return graph.scatter_gather_accounts(usd, 5, PARAMETERS.min_paths, direct_pairs=0, cell_pairs=500)
 
 
@@ -541,7 +542,7 @@ STAGES = {
             "routes": [
                 _dates("q3_historic", "history", JANUARY),
                 _dates("q3_candidates", "candidates", FEB_MARCH),
-                _dates("q4_transactions", "scatter", QUARTER),
+                _dates("q4_transactions", "scatter", YEAR),
             ],
         },
         {"input": "history", "output": "averages", "strategy": {"type": "payment_format_average"}},
@@ -555,7 +556,7 @@ STAGES = {
         {
             "input": "scatter",
             "output": "q4",
-            "strategy": {"type": "scatter_gather", "min_paths": 3},
+            "strategy": {"type": "scatter_gather", "min_paths": 2},
         },
         {
             "input": "transactions",

@@ -173,8 +173,13 @@ def stream_high_mark(spark, folder):
 @query
 def stream_end_markers(spark, folder):
     """Signups end a client's input (ten of them complete it) and large errors cancel it; the
-    answer counts the other messages of clients that are complete. All but the errors come twice."""
-    events = _stream(spark, folder, "events")
+    answer counts the other messages of clients that are complete. All but the errors come twice,
+    and errors come last: a tombstone is for what its client has sent so far."""
+    table, source = views.table(spark, folder, "events"), run_folder(spark, "in-markers")
+    error = F.col("event_type") == "error"
+    table.where(~error).repartition(BATCHES - 1).write.parquet(source)
+    table.where(error).coalesce(1).write.mode("append").parquet(source)
+    events = stream_parquet(spark, source, views.SCHEMAS["events"], 1)
     kind = (
         F.when(F.col("event_type") == "signup", END_TYPE)
         .when((F.col("event_type") == "error") & (F.col("value") > 150), CANCEL_TYPE)
