@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.tables import fold_of, materialize, texts
+from flowlens.llm.word_cache import slices
 
 TRAIN_PER_LANGUAGE = 5_000
 SLOTS = 1 << 15  # of the hashed n-grams of one length
@@ -247,7 +248,7 @@ def identify(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Da
 def _identified(held, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _unpickled(held.value)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, column)):
             found = [model.decode(t.as_py()) for t in batch.column(column)]
             yield batch.filter(pa.array([lang != UNKNOWN and not unsure for lang, _, unsure in found], pa.bool_()))
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.tables import materialize, texts
+from flowlens.llm.word_cache import slices
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_SPANS = 20_000
@@ -209,7 +210,7 @@ def _candidates(text: str) -> list[dict]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b, "text")):
         found = [_candidates(t.as_py() or "") for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _CANDIDATE)], ["doc_id", "found"])
 
@@ -352,7 +353,7 @@ def redacted(text: str, model: Model) -> str:
 def _redacting(held, column: int, counted: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(held.value)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, column)):
             old = batch.column(column).to_pylist()
             new = [t if t is None else redacted(t, model) for t in old]
             columns = list(batch.columns)

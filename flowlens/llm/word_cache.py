@@ -14,19 +14,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words held per worker; beyond that the cache starts anew. It only saves time, ids don't depend on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Text handled at once; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of rows with about `most` bytes of text in `column`. The rows are copied:
-    some string kernels of Arrow misread arrays that begin inside another one's buffers."""
+    some string kernels of Arrow misread arrays that begin inside another one's buffers. What the
+    slices took is given back in the end, since workers live on from stage to stage."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     share = np.cumsum(sizes, dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
     for start, end in zip(cuts, cuts[1:]):
         yield batch.take(pa.array(np.arange(start, end)))
+    pa.default_memory_pool().release_unused()
 
 
 class WordIds:
