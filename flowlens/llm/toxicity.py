@@ -12,8 +12,8 @@ strongest passage of WINDOW words and by the whole text, both as means, so that
 worse for their length; a logistic curve over the two, fitted on rows that the counts it is fitted
 with have not seen, gives the score.
 
-Counts are hashed into tables of fixed size, summed on the map side from at most TRAIN_ROWS labelled
-rows (all of them below that). Scoring is one pass over whole texts. A word's evidence is computed
+Counts are hashed into tables of fixed size, summed on the map side from all labelled rows outside the
+held-out fold; only the curve is fitted on a sample of at most TRAIN_ROWS. Scoring is one pass over whole texts. A word's evidence is computed
 once per batch and worker and looked up for its other occurrences.
 
 Defined results: texts that are NULL, empty or without letters and digits get the score of no
@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.llm.tables import fold_of, materialize, texts
 from flowlens.llm.word_cache import slices
 
-TRAIN_ROWS = 250_000
+TRAIN_ROWS = 250_000  # that the curve is fitted on
+LOCAL_LABELS = 1_000_000  # labels that are broadcast
 ORDER = 6  # letters of an n-gram
 SHARED = 3  # n-grams of this length and less have shared counts
 SLOTS = 1 << 18  # of the counts of one length
@@ -255,15 +256,17 @@ def _measured(held):
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of about `most` labelled rows outside the held-out fold, all if there
-    are fewer. The drawn labels are bounded and so can be broadcast: no text is shuffled."""
+    """(doc_id, text, toxic, fitted) of all labelled rows outside the held-out fold; `fitted` marks about
+    `most` of them, all if there are fewer. No text is shuffled unless the labels are too many to broadcast."""
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     fold = fold_of(F.col("doc_id"), 5)
     known = known.where(F.col("toxic").isin(0, 1) & (fold > 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    share = most / max(1, known.count())
-    return texts(documents).where(F.col("text").isNotNull()).join(F.broadcast(known.where(draw < share)), "doc_id")
+    n = known.count()
+    known = known.withColumn("fitted", draw < most / max(1, n))
+    rows = texts(documents).where(F.col("text").isNotNull())
+    return rows.join(F.broadcast(known) if n <= LOCAL_LABELS else known, "doc_id")
 
 
 def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
@@ -277,7 +280,7 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Mo
     half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)) == 0
     part = spelling(rows.where(half).select("text", "toxic"))
     held = context.broadcast(pickle.dumps(part))
-    tried = rows.where(~half).select("text", "toxic").mapInArrow(_measured(held), "toxic int, passage double, whole double")
+    tried = rows.where(~half & F.col("fitted")).select("text", "toxic").mapInArrow(_measured(held), "toxic int, passage double, whole double")
     seen = tried.toArrow().to_pandas()  # three numbers per row of the bounded sample
     if seen["toxic"].nunique() < 2:
         return Model(None, np.zeros(3), sizes[1] / sum(sizes.values()))

@@ -60,3 +60,11 @@ def test_without_both_classes(spark, documents):
         got = judge(documents(*rows), frame(spark, some)).collect()
         assert {r["score"] for r in got} == {0.0}
     assert judge(documents().limit(0), frame(spark, labels)).count() == 0
+
+
+def test_every_labelled_row_is_counted(spark, documents):
+    rows, labels = corpus(1200)
+    rare = [(2000 + i, f"{text} zwumf{end}") for i, ((_, text), end) in enumerate(zip(corpus(60, seed=9)[0], "an the er ou ti on re st in ly ha nd".split() * 5)) if i % 5]
+    taught = [(i, 1, 1) for i, _ in rare[:6]]
+    got = {r["doc_id"]: r["predicted"] for r in judge(documents(*rows, *rare), frame(spark, labels + taught), most=40).collect()}
+    assert sum(got[i] for i, _ in rare[24:]) >= 20  # of 24
