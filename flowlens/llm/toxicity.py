@@ -12,9 +12,13 @@ strongest passage of WINDOW words and by the whole text, both as means, so that
 worse for their length; a logistic curve over the two, fitted on rows that the counts it is fitted
 with have not seen, gives the score.
 
-Counts are hashed into tables of fixed size, summed on the map side from all labelled rows outside the
-held-out fold; only the curve is fitted on a sample of at most TRAIN_ROWS. Scoring is one pass over whole texts. A word's evidence is computed
-once per batch and worker and looked up for its other occurrences.
+All labelled rows outside the held-out fold are counted; only the rows that the curve is fitted on are
+a bounded sample. Every n-gram is its own key, its code points packed into two numbers, so that no two
+n-grams share a count. Words are counted first, then the n-grams of the distinct words. The context
+and the shorter forms of an n-gram down to three letters contain the same two letters before its last,
+so that one exchange by these brings together all that its likelihood is made of. The result is one
+table of ORDER-grams with their evidence: up to LOCAL_GRAMS of them are sent to the workers, which look
+words up, and beyond that n-grams meet words and words meet texts by joins.
 
 Defined results: texts that are NULL, empty or without letters and digits get the score of no
 evidence. Without any label, or with one class only, every score is the share of toxic labels (0
@@ -25,9 +29,7 @@ one document the greatest counts. Rows without an id are not held out and teach
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,14 +41,16 @@ from flowlens.llm.tables import fold_of, materialize, texts
 from flowlens.llm.word_cache import slices
 
 TRAIN_ROWS = 250_000  # that the curve is fitted on
-LOCAL_LABELS = 1_000_000  # labels that are broadcast
 ORDER = 6  # letters of an n-gram
 SHARED = 3  # n-grams of this length and less have shared counts
-SLOTS = 1 << 18  # of the counts of one length
 DISCOUNT = 0.75
 WINDOW = 4  # words
 MAX_LETTERS = 64  # of a piece of a word; a longer word is several pieces
 CACHE_WORDS = 400_000
+LOCAL_LABELS = 1_000_000  # labels that are broadcast
+LOCAL_GRAMS = 8_000_000  # ORDER-grams that are sent to the workers
+BITS = 21  # of a code point
+MODELS = ("half", "full")
 
 
 def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,42 +64,14 @@ def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.arange(len(points)) - np.repeat(starts, sizes) - (ORDER - 1)
 
 
-def _slot(points: np.ndarray, at: np.ndarray, length: int, skip: int) -> np.ndarray:
-    """Slot of the `length` points that end `skip` points before those at `at`."""
-    h = np.full(len(at), 2166136261 + length, np.uint32)
-    for j in range(length - 1, -1, -1):
-        h = (h ^ points[at - skip - j]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    return ((h * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
-
-
-@dataclass(frozen=True)
-class Spelling:
-    """Counts of n-grams: `grams[n]` is class x slot for class-bound lengths, and one row of
-    continuation counts for shared ones; `totals[n]` and `kinds[n]` per context alike."""
-
-    grams: dict[int, np.ndarray]
-    totals: dict[int, np.ndarray]
-    kinds: dict[int, np.ndarray]
-    alphabet: int
-
-    def evidence(self, words: list[str]) -> np.ndarray:
-        """log-likelihood of toxic minus ordinary, and letters, per word."""
-        points, place = _spelled(words)
-        at = np.flatnonzero(place >= 0)
-        likely = np.full((2, len(at)), 1.0 / self.alphabet)
-        for n in range(1, ORDER + 1):
-            gram, context = _slot(points, at, n, 0), _slot(points, at, n - 1, 1)
-            for c in (0, 1):
-                row = c if n > SHARED else 0
-                total, kinds = self.totals[n][row, context], self.kinds[n][row, context]
-                seen = np.maximum(self.grams[n][row, gram] - DISCOUNT, 0.0)
-                share = np.where(total > 0, seen / np.maximum(total, 1e-9), 0.0)
-                rest = np.where(total > 0, np.minimum(1.0, DISCOUNT * kinds / np.maximum(total, 1e-9)), 1.0)
-                likely[c] = np.minimum(share, 1.0) + rest * likely[c]
-        gain = np.log(np.maximum(likely[1], 1e-12)) - np.log(np.maximum(likely[0], 1e-12))
-        ends = np.flatnonzero(np.append(place[at][1:] == 0, True))
-        return np.diff(np.cumsum(gain)[ends], prepend=0.0)
+def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ORDER points up to every letter and end of the words, as two numbers of three points each,
+    and the word each belongs to."""
+    pieces = [(p, i) for i, w in enumerate(words) for p in _cut(w)]
+    points, place = _spelled([p for p, _ in pieces])
+    points, at = points.astype(np.int64), np.flatnonzero(place >= 0)
+    three = [(points[at - k - 2] << 2 * BITS) | (points[at - k - 1] << BITS) | points[at - k] for k in (3, 0)]
+    return three[0], three[1], np.repeat([i for _, i in pieces], [len(p) + 1 for p, _ in pieces]).astype(np.int64)
 
 
 def _words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -115,116 +91,231 @@ def _cut(word: str) -> list[str]:
     return [word[i : i + MAX_LETTERS] for i in range(0, len(word), MAX_LETTERS)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums, per class, of the n-grams of this partition: one sparse set of rows per length."""
-    grams = {n: np.zeros((2, SLOTS), np.int64) for n in range(1, ORDER + 1)}
-    context_of = {n: np.zeros(SLOTS, np.int64) for n in range(1, ORDER + 1)}
-    suffix_of = {n: np.zeros(SLOTS, np.int64) for n in range(2, ORDER + 1)}
-    letters: set[int] = set()
+CELLS = ("ordinary_half", "toxic_half", "ordinary_rest", "toxic_rest")
+COUNTS = ", ".join(f"{c} bigint" for c in CELLS)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of slices of texts, and how often they stand in rows of each cell; none for cell -1."""
     for batch in (s for b in batches for s in slices(b, "text")):
         words, which, ends = _words(batch.column("text"))
-        toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(ends, prepend=0))
-        times = np.stack([np.bincount(which[toxic == c], minlength=len(words)) for c in (0, 1)])
-        for start in range(0, len(words), 50_000):
-            some = [(p, i) for i, w in enumerate(words[start : start + 50_000], start) for p in _cut(w)]
-            points, place = _spelled([p for p, _ in some])
-            at = np.flatnonzero(place >= 0)
-            owner = np.repeat([i for _, i in some], [len(p) + 1 for p, _ in some])
-            letters.update(np.unique(points).tolist())
-            for n in range(1, ORDER + 1):
-                slot = _slot(points, at, n, 0)
-                for c in (0, 1):
-                    grams[n][c] += np.bincount(slot, times[c][owner], SLOTS).astype(np.int64)
-                context_of[n][slot] = _slot(points, at, n - 1, 1)
-                if n > 1:
-                    suffix_of[n][slot] = _slot(points, at, n - 1, 0)
-    for n in range(1, ORDER + 1):
-        used = np.flatnonzero(grams[n].any(0))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "length": np.full(len(used), n, np.int32), "slot": used, "ordinary": grams[n][0, used], "toxic": grams[n][1, used],
-                "context": context_of[n][used], "suffix": suffix_of[n][used] if n > 1 else np.zeros(len(used), np.int64),
-            }
-        )
-    yield pa.RecordBatch.from_pydict(
-        {
-            "length": np.zeros(len(letters), np.int32), "slot": np.array(sorted(letters), np.int64),
-            **{k: np.zeros(len(letters), np.int64) for k in ("ordinary", "toxic", "context", "suffix")},
-        }
-    )
+        cell = np.repeat(batch.column("cell").to_numpy(), np.diff(ends, prepend=0))
+        times = {c: np.bincount(which[cell == i], minlength=len(words)) for i, c in enumerate(CELLS)}
+        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), **times})
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hi, lo, owner = _windows(batch.column("word").to_pylist())
+        yield pa.RecordBatch.from_pydict({"hi": hi, "lo": lo, **{c: batch.column(c).to_numpy()[owner] for c in CELLS}})
+
+
+def _sums(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in CELLS))
 
 
-COUNTED = "length int, slot bigint, ordinary bigint, toxic bigint, context bigint, suffix bigint"
+def _backed_off(count, total, kinds, lower):
+    """The likelihood by absolute discounting, as a column."""
+    share = F.greatest(count - DISCOUNT, F.lit(0.0)) / total
+    return F.when(total > 0, share + F.least(F.lit(1.0), DISCOUNT * kinds / total) * lower).otherwise(lower)
 
 
-def spelling(rows: DataFrame) -> Spelling:
-    """Counts of rows (text, toxic). The summed table has ORDER x SLOTS rows and the letters at most."""
-    sums = rows.mapInArrow(_count, COUNTED).groupBy("length", "slot").agg(
-        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"),
-        F.max("context").alias("context"), F.max("suffix").alias("suffix"),
+def _of_two_letters(grams: DataFrame) -> DataFrame:
+    """Per three letters (lo) the likelihood of the last one behind the middle one, for both models."""
+    seen = {"half": F.col(CELLS[0]) + F.col(CELLS[1]) > 0, "full": sum(F.col(c) for c in CELLS) > 0}
+    three = grams.groupBy("lo").agg(*(F.max(seen[m].cast("bigint")).alias(m) for m in MODELS))
+    three = three.withColumn("two", F.col("lo").bitwiseAND((1 << 2 * BITS) - 1))
+    two = three.groupBy("two").agg(*(F.sum(m).alias(m) for m in MODELS))
+    two = materialize(two.withColumn("one", F.col("two").bitwiseAND((1 << BITS) - 1)).withColumn("before", F.shiftright("two", BITS)))
+    some = lambda m: (F.col(m) > 0).cast("bigint")
+    one = two.groupBy("one").agg(*(F.sum(some(m)).alias(f"one_{m}") for m in MODELS))
+    before = two.groupBy("before").agg(
+        *(F.sum(m).alias(f"total_{m}") for m in MODELS), *(F.sum(some(m)).alias(f"kinds_{m}") for m in MODELS)
     )
-    table = sums.toArrow().to_pandas()
-    grams, totals, kinds = {}, {}, {}
-    for n in range(ORDER, 0, -1):
-        part = table[table["length"] == n]
-        slot, context = part["slot"].to_numpy(), part["context"].to_numpy()
-        if n > SHARED:
-            counts = np.stack([part["ordinary"], part["toxic"]]).astype(np.float64)
-        else:  # continuations: n-grams longer by a letter that end in this one, of either class
-            longer = table[table["length"] == n + 1]
-            counts = np.bincount(longer["suffix"].to_numpy(), minlength=SLOTS)[slot][None, :].astype(np.float64)
-        grams[n] = np.zeros((len(counts), SLOTS), np.float32)
-        grams[n][:, slot] = counts
-        totals[n] = np.stack([np.bincount(context, c, SLOTS) for c in counts]).astype(np.float32)
-        kinds[n] = np.stack([np.bincount(context, c > 0, SLOTS) for c in counts]).astype(np.float32)
-    return Spelling(grams, totals, kinds, int((table["length"] == 0).sum()) + 1)
+    whole = one.agg(*(f(F.col(f"one_{m}")).alias(f"{k}_{m}") for m in MODELS for k, f in (
+        ("total", F.sum), ("kinds", lambda c: F.sum((c > 0).cast("bigint")))))).first()
+    likely = []
+    for m in MODELS:
+        total, kinds = whole[f"total_{m}"] or 0, whole[f"kinds_{m}"] or 0
+        first = _backed_off(F.col(f"one_{m}"), F.lit(float(total)), F.lit(kinds), F.lit(1.0 / (kinds + 2)))  # two marks
+        likely.append(_backed_off(F.col(m), F.col(f"total_{m}"), F.col(f"kinds_{m}"), first).alias(f"two_{m}"))
+    two = two.join(one, "one").join(before, "before").select("two", *likely)
+    return three.select("lo", "two").join(two, "two").drop("two")
+
+
+def _shares(count: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted share of each n-gram in its context, and what is left for shorter ones."""
+    total, kinds = np.bincount(context, count)[context], np.bincount(context, count > 0)[context]
+    some = np.maximum(total, 1e-9)
+    return np.where(total > 0, np.maximum(count - DISCOUNT, 0.0) / some, 0.0), np.where(total > 0, np.minimum(1.0, DISCOUNT * kinds / some), 1.0)
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Evidence of all ORDER-grams of a partition, which holds all that have the same two letters
+    before the last. Rows with a negative `hi` bring the likelihoods of two letters."""
+    table = pa.Table.from_batches(list(batches))
+    if table.num_rows == 0:
+        return
+    hi, lo = table["hi"].to_numpy(), table["lo"].to_numpy()
+    short, long = np.flatnonzero(hi < 0), np.flatnonzero(hi >= 0)
+    short = short[np.argsort(lo[short])]
+    two = short[np.searchsorted(lo[short], lo[long])]
+    hi, lo, mask = hi[long], lo[long], (1 << BITS) - 1
+    # Codes of the n-gram and of its context in every row, each from those one letter shorter.
+    gram, context = {}, {}
+    for n, code in ((SHARED, lo), (SHARED, lo >> BITS)):
+        (context if gram else gram)[n] = np.unique(code, return_inverse=True)[1]
+    for n in range(SHARED + 1, ORDER + 1):
+        letter = (hi >> BITS * (n - SHARED - 1)) & mask
+        for codes in (gram, context):
+            codes[n] = np.unique((codes[n - 1] << BITS) | letter, return_inverse=True)[1]
+    first = {n: np.unique(gram[n], return_index=True)[1] for n in gram}
+    cells = [table[c].to_numpy()[long].astype(np.float64) for c in CELLS]
+    found = {}
+    for m in MODELS:
+        classes = cells[:2] if m == "half" else [cells[0] + cells[2], cells[1] + cells[3]]
+        longer = gram[SHARED + 1]
+        present = np.bincount(longer, classes[0] + classes[1]) > 0
+        kept = np.bincount(gram[SHARED][first[SHARED + 1]], present)
+        share, rest = _shares(kept, context[SHARED][first[SHARED]])
+        shared = share[gram[SHARED]] + rest[gram[SHARED]] * table[f"two_{m}"].to_numpy()[two]
+        likely = []
+        for c in classes:
+            likely.append(shared)
+            for n in range(SHARED + 1, ORDER + 1):
+                share, rest = _shares(np.bincount(gram[n], c), context[n][first[n]])
+                likely[-1] = share[gram[n]] + rest[gram[n]] * likely[-1]
+        found[m] = (np.log(np.maximum(likely[1], 1e-12)) - np.log(np.maximum(likely[0], 1e-12))).astype(np.float32)
+    yield pa.RecordBatch.from_pydict({"hi": hi, "lo": lo, **found})
+
+
+def evidence(words: DataFrame) -> DataFrame:
+    """(hi, lo, half, full): log-likelihood of toxic minus ordinary of the last letter of each
+    ORDER-gram of the words (word and CELLS), by the counts of one half and of all labelled rows."""
+    grams = materialize(_sums(words.mapInArrow(_count_grams, f"hi bigint, lo bigint, {COUNTS}"), "hi", "lo"))
+    nothing = F.lit(None).cast("double")
+    rows = grams.select("*", *(nothing.alias(f"two_{m}") for m in MODELS)).unionByName(
+        _of_two_letters(grams).select(F.lit(-1).cast("bigint").alias("hi"), "*", *(F.lit(0).cast("bigint").alias(c) for c in CELLS))
+    )
+    dealt = rows.repartition(F.shiftright("lo", BITS))
+    return materialize(dealt.mapInArrow(_evidence, "hi bigint, lo bigint, half float, full float"))
 
 
 class Evidence:
-    """Features of texts, with the evidence of words kept from batch to batch."""
+    """Evidence of words by a table of ORDER-grams that has all of theirs, kept from batch to batch."""
 
-    def __init__(self, model: Spelling):
-        self.model = model
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, gain: np.ndarray):
+        self.hi, self.lo = np.unique(hi), np.unique(lo)
+        code = self._code(hi, lo)
+        order = np.argsort(code)
+        self.code, self.gain = code[order], gain[order]
         self.known: dict[str, float] = {}
 
-    def _per_word(self, words: list[str]) -> np.ndarray:
+    def _code(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(self.hi, hi) << 32) | np.searchsorted(self.lo, lo)
+
+    def per_word(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         new = [w for w in words if w not in self.known]
         for start in range(0, len(new), 50_000):
             some = new[start : start + 50_000]
-            pieces = [(p, i) for i, w in enumerate(some) for p in _cut(w)]
-            gain = self.model.evidence([p for p, _ in pieces])
-            per_word = np.bincount([i for _, i in pieces], gain, len(some))
-            self.known.update(zip(some, per_word.tolist()))
+            hi, lo, owner = _windows(some)
+            gain = self.gain[np.searchsorted(self.code, self._code(hi, lo))]
+            self.known.update(zip(some, np.bincount(owner, gain, len(some)).tolist()))
         return np.array([self.known[w] for w in words])
 
-    def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: the greatest mean evidence of WINDOW words in a row, and the mean of all."""
-        words, which, ends = _words(column)
-        found = np.zeros((len(column), 2))
-        if not words:
-            return found
-        gain = self._per_word(words)[which]
-        n = np.diff(ends, prepend=0)
-        sums = np.concatenate([[0.0], np.cumsum(gain)])
-        start = np.repeat(ends - n, n)
-        here = np.arange(len(gain))
-        passage = (sums[here + 1] - sums[np.maximum(start, here + 1 - WINDOW)]) / WINDOW
-        some = n > 0
-        found[some, 0] = np.maximum.reduceat(passage, (ends - n)[some])
-        found[some, 1] = (sums[ends] - sums[ends - n])[some] / n[some]
+
+def _features(gain: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per text: the greatest mean evidence of WINDOW words in a row, and the mean of all."""
+    found = np.zeros((len(ends), 2))
+    if not len(gain):
         return found
+    n = np.diff(ends, prepend=0)
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
+    start = np.repeat(ends - n, n)
+    here = np.arange(len(gain))
+    passage = (sums[here + 1] - sums[np.maximum(start, here + 1 - WINDOW)]) / WINDOW
+    some = n > 0
+    found[some, 0] = np.maximum.reduceat(passage, (ends - n)[some])
+    found[some, 1] = (sums[ends] - sums[ends - n])[some] / n[some]
+    return found
+
+
+@lru_cache(maxsize=1)
+def _unpickled(raw: bytes) -> Evidence:
+    return pickle.loads(raw)
+
+
+def _with(batch: pa.RecordBatch, kept: list[str], found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({**{k: batch.column(k) for k in kept}, "passage": found[:, 0], "whole": found[:, 1]})
+
+
+def _looked_up(held, kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _unpickled(held.value)
+        for batch in (s for b in batches for s in slices(b, "text")):
+            words, which, ends = _words(batch.column("text"))
+            gain = table.per_word(words)[which] if words else np.zeros(0)
+            yield _with(batch, kept, _features(gain, ends))
+
+    return run
+
+
+def _listed(kept: list[str]):
+    """Distinct words of each text, and which of them each of its words is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, "text")):
+            words, which, ends = _words(batch.column("text"))
+            names = np.array(words, object)
+            own = [np.unique(w, return_inverse=True) for w in np.split(which, ends[:-1])]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    **{k: batch.column(k) for k in kept}, "words": pa.array([names[i].tolist() for i, _ in own], pa.list_(pa.string())),
+                    "which": pa.array([w for _, w in own], pa.list_(pa.int32())),
+                }
+            )
+
+    return run
+
 
+def _joined(kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for which, gains in zip(batch.column("which"), batch.column("gains")):
+                which = np.array(which.as_py(), np.int64)
+                gain = np.zeros(which.max(initial=-1) + 1)
+                for g in gains.as_py() or []:
+                    gain[g["pos"]] = g["gain"]
+                found.append(_features(gain[which], np.array([len(which)]))[0])
+            yield _with(batch, kept, np.reshape(found, (-1, 2)))
+
+    return run
+
+
+def _spelled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hi, lo, owner = _windows(batch.column("word").to_pylist())
+        yield pa.RecordBatch.from_pydict({"word": batch.column("word").take(pa.array(owner)), "hi": hi, "lo": lo})
 
-@dataclass(frozen=True)
-class Model:
-    counts: Spelling | None
-    weights: np.ndarray  # constant, passage, whole text
-    constant: float  # the score where there is no model
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -50, 50)))
+def features(rows: DataFrame, kept: str, words: DataFrame, grams: DataFrame, model: str, local: int = LOCAL_GRAMS) -> DataFrame:
+    """The columns `kept` of rows with a text, and passage and whole by the evidence of `model`."""
+    names = [k.split()[0] for k in kept.split(", ")]
+    found = f"{kept}, passage double, whole double"
+    if grams.count() <= local:
+        table = grams.select("hi", "lo", model).toArrow()
+        held = Evidence(*(table[c].to_numpy() for c in ("hi", "lo", model)))
+        return rows.mapInArrow(_looked_up(rows.sparkSession.sparkContext.broadcast(pickle.dumps(held)), names), found)
+    spelled = words.select("word").mapInArrow(_spelled_out, "word string, hi bigint, lo bigint")
+    gain = spelled.join(grams, ["hi", "lo"]).groupBy("word").agg(F.sum(F.col(model).cast("double")).alias("gain"))
+    listed = rows.mapInArrow(_listed(names), f"{kept}, words array<string>, which array<int>")
+    listed = materialize(listed.withColumn("row", F.monotonically_increasing_id()))
+    single = listed.select("row", F.posexplode("words").alias("pos", "word")).join(gain, "word")
+    gains = single.groupBy("row").agg(F.collect_list(F.struct("pos", "gain")).alias("gains"))
+    return listed.drop("words").join(gains, "row", "left").drop("row").mapInArrow(_joined(names), found)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -239,80 +330,46 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-@lru_cache(maxsize=2)
-def _unpickled(raw: bytes):
-    model = pickle.loads(raw)
-    return model, Evidence(model.counts if isinstance(model, Model) else model)
-
-
-def _measured(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, evidence = _unpickled(held.value)
-        for batch in (s for b in batches for s in slices(b, "text")):
-            found = evidence.features(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "passage": found[:, 0], "whole": found[:, 1]})
-
-    return run
-
-
 def labelled(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic, fitted) of all labelled rows outside the held-out fold; `fitted` marks about
-    `most` of them, all if there are fewer. No text is shuffled unless the labels are too many to broadcast."""
+    """(doc_id, text, held_out, toxic, cell, fitted) of all documents. `cell` is the place in CELLS
+    of a labelled row outside the held-out fold, else -1; `fitted` marks about `most` of them at most
+    for the curve. No text is shuffled unless the labels are too many to broadcast."""
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     fold = fold_of(F.col("doc_id"), 5)
     known = known.where(F.col("toxic").isin(0, 1) & (fold > 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     n = known.count()
-    known = known.withColumn("fitted", draw < most / max(1, n))
-    rows = texts(documents).where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(known) if n <= LOCAL_LABELS else known, "doc_id")
-
-
-def learn(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    rows = materialize(labelled(documents, labels, most))
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return Model(None, np.zeros(3), float(sizes.get(1, 0) > 0))
-    context = documents.sparkSession.sparkContext
+    rows = texts(documents).join(F.broadcast(known) if n <= LOCAL_LABELS else known, "doc_id", "left")
     # The curve is fitted on one half with counts of the other. A hash of the text makes the
     # halves, so that copies of a text are on the same side.
     half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)) == 0
-    part = spelling(rows.where(half).select("text", "toxic"))
-    held = context.broadcast(pickle.dumps(part))
-    tried = rows.where(~half & F.col("fitted")).select("text", "toxic").mapInArrow(_measured(held), "toxic int, passage double, whole double")
-    seen = tried.toArrow().to_pandas()  # three numbers per row of the bounded sample
-    if seen["toxic"].nunique() < 2:
-        return Model(None, np.zeros(3), sizes[1] / sum(sizes.values()))
-    weights = _logistic(seen[["passage", "whole"]].to_numpy(), seen["toxic"].to_numpy())
-    return Model(spelling(rows.select("text", "toxic")), weights, 0.0)
-
-
-def _scored(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, evidence = _unpickled(held.value)
-        for batch in (s for b in batches for s in slices(b, "text")):
-            if model.counts is None:
-                score = np.full(batch.num_rows, model.constant)
-            else:
-                score = model.score(evidence.features(batch.column("text")))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": score,
-                    "predicted": (score >= 0.5).astype(np.int32),
-                }
-            )
-
-    return run
+    cell = F.when(F.col("text").isNotNull(), F.col("toxic") + F.when(half, 0).otherwise(2))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.select(
+        "doc_id", "text", (fold == 0).alias("held_out"), "toxic", F.coalesce(cell, F.lit(-1)).alias("cell"),
+        ((F.coalesce(cell, F.lit(-1)) >= 2) & (draw < most / max(1, n))).alias("fitted"),
+    )
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
+def judge(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, local: int = LOCAL_GRAMS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    held = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    rows = texts(documents)
-    rows = rows.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(_scored(held), "doc_id bigint, held_out boolean, score double, predicted int")
+    rows = labelled(documents, labels, most)
+    plain = texts(documents).select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    sizes = {r["toxic"]: r["count"] for r in rows.where(F.col("cell") >= 0).groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return _as_scores(plain, F.lit(float(sizes.get(1, 0) > 0)))
+    words = materialize(_sums(rows.select("text", "cell").mapInArrow(_count_words, f"word string, {COUNTS}"), "word"))
+    grams = evidence(words)
+    tried = features(rows.where("fitted").select("text", "toxic"), "toxic int", words, grams, "half", local)
+    seen = tried.toArrow().to_pandas()  # three numbers per row of the bounded sample
+    if seen["toxic"].nunique() < 2:
+        return _as_scores(plain, F.lit(sizes[1] / sum(sizes.values())))
+    weights = [float(w) for w in _logistic(seen[["passage", "whole"]].to_numpy(), seen["toxic"].to_numpy())]
+    found = features(plain, "doc_id bigint, held_out boolean", words, grams, "full", local)
+    sums = weights[0] + F.col("passage") * weights[1] + F.col("whole") * weights[2]
+    return _as_scores(found, 1 / (1 + F.exp(-F.least(F.greatest(sums, F.lit(-50.0)), F.lit(50.0)))))
 
 
-def judge(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    return score(documents, learn(documents, labels, most))
+def _as_scores(rows: DataFrame, score) -> DataFrame:
+    rows = rows.select("doc_id", "held_out", score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,6 +1,13 @@
+import math
 import random
+import zlib
+from collections import Counter
+from functools import lru_cache
+from string import ascii_lowercase
 
-from flowlens.llm.toxicity import judge
+import numpy as np
+
+from flowlens.llm.toxicity import _logistic, judge
 
 STEMS = ("blorg", "skrunt")
 
@@ -62,6 +69,87 @@ def test_without_both_classes(spark, documents):
     assert judge(documents().limit(0), frame(spark, labels)).count() == 0
 
 
+def reference(rows, labels, frame):
+    """Scores by counts of every n-gram in dictionaries."""
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    toxic = {i: t for i, _, t in labels if fold[i]}
+    half = {r["i"] for r in frame.where("pmod(xxhash64(text, 5), 2) = 0").collect()}
+
+    def model(ids):
+        grams = {n: Counter() for n in range(1, 7)}
+        for i, text in rows:
+            for word in text.split() if i in ids else ():
+                spelled = "\0" * 5 + word + "\1"
+                for end in range(6, len(spelled) + 1):
+                    for n in range(1, 7):
+                        grams[n][spelled[end - n : end], toxic[i]] += 1
+        kinds = {n: {g for g, _ in grams[n]} for n in grams}
+        counts = {n: grams[n] if n > 3 else Counter((g[1:], c) for g in kinds[n + 1] for c in (0, 1)) for n in grams}
+        totals, seen = {n: Counter() for n in grams}, {n: Counter() for n in grams}
+        for n in grams:
+            for (g, c), k in counts[n].items():
+                totals[n][g[:-1], c] += k
+                seen[n][g[:-1], c] += 1
+        alphabet = len(kinds[1]) + 2
+
+        def evidence(word):
+            spelled, sums = "\0" * 5 + word + "\1", 0.0
+            for end in range(6, len(spelled) + 1):
+                likely = [1 / alphabet] * 2
+                for n in range(1, 7):
+                    g = spelled[end - n : end]
+                    for c in (0, 1):
+                        if total := totals[n][g[:-1], c]:
+                            rest = min(1.0, 0.75 * seen[n][g[:-1], c] / total)
+                            likely[c] = max(counts[n][g, c] - 0.75, 0) / total + rest * likely[c]
+                sums += math.log(likely[1]) - math.log(likely[0])
+            return sums
+
+        return lru_cache(None)(evidence)
+
+    def features(text, evidence):
+        gain = [evidence(w) for w in text.split()]
+        return max(sum(gain[max(0, i - 3) : i + 1]) / 4 for i in range(len(gain))), sum(gain) / len(gain)
+
+    part = model({i for i in toxic if i in half})
+    tried = [(features(t, part), toxic[i]) for i, t in rows if i in toxic and i not in half]
+    weights = _logistic(np.array([f for f, _ in tried]), np.array([y for _, y in tried]))
+    full = model(set(toxic))
+    return {i: 1 / (1 + math.exp(-weights[0] - np.dot(weights[1:], features(t, full)))) for i, t in rows}
+
+
+def wide_corpus(n, words, seed=3):
+    """Every word its own, so that there are many n-grams for few rows."""
+    dice = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        text = ["".join(dice.choices(ascii_lowercase, k=dice.randint(5, 9))) for _ in range(words)]
+        toxic = i % 4 == 0
+        if toxic:
+            text[dice.randrange(words)] = dice.choice(STEMS) + "".join(dice.choices(ascii_lowercase, k=3))
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_many_ngrams_share_no_counts(spark, documents):
+    rows, labels = wide_corpus(500, 100)
+    wanted = reference(rows, labels, spark.createDataFrame(rows, "i bigint, text string"))
+    got = {r["doc_id"]: r["score"] for r in judge(documents(*rows), frame(spark, labels)).collect()}
+    assert max(abs(got[i] - wanted[i]) for i, _ in rows) < 1e-4
+
+
+def test_joins_give_what_lookups_give(spark, documents):
+    rows, labels = corpus(300)
+    odd = [(1000, None), (1001, ""), (None, "blorgan"), (1003, "x" * 3_000), (1004, "blorg same é\U00020000"), (1004, "blorg same é\U00020000")]
+    results = []
+    for most in (8_000_000, 0):
+        got = judge(documents(*rows, *odd), frame(spark, labels), local=most).collect()
+        results.append(sorted((r["doc_id"] or -1, r["held_out"], r["predicted"], round(r["score"], 6)) for r in got))
+    assert len(results[0]) == len(rows) + len(odd)
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-5 for a, b in zip(*results))
+
+
 def test_every_labelled_row_is_counted(spark, documents):
     rows, labels = corpus(1200)
     rare = [(2000 + i, f"{text} zwumf{end}") for i, ((_, text), end) in enumerate(zip(corpus(60, seed=9)[0], "an the er ou ti on re st in ly ha nd".split() * 5)) if i % 5]
