@@ -272,12 +272,25 @@ def _fit(rows: list[list[int]], soft: np.ndarray) -> np.ndarray:
     return weights
 
 
+def _parts(counts: dict[str, int], most: float) -> dict[str, float]:
+    """The part of each kind to draw for about `most` rows: all of rare kinds, the others share alike."""
+    parts = {}
+    for left, kind in zip(range(len(counts), 0, -1), sorted(counts, key=counts.get)):
+        drawn = min(counts[kind], most / left)
+        parts[kind] = drawn / counts[kind]
+        most -= drawn
+    return parts
+
+
 def learn(found: DataFrame, most: int = TRAIN_SPANS) -> Model:
     """The span classifier, from the table of `candidates`."""
     spans = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*")
     counted: dict[str, dict[str, int]] = {}
-    for r in spans.groupBy("kind", "votes").count().collect():  # at most kinds x 3 ** labelers rows
-        counted.setdefault(r["kind"], {})[r["votes"]] = r["count"]
+    sorts: dict[bool, dict[str, int]] = {True: {}, False: {}}  # base and proposed spans by kind
+    for r in spans.groupBy("kind", "base", "votes").count().collect():  # at most kinds x 2 x 3 ** labelers rows
+        of_kind = counted.setdefault(r["kind"], {})
+        of_kind[r["votes"]] = of_kind.get(r["votes"], 0) + r["count"]
+        sorts[r["base"]][r["kind"]] = sorts[r["base"]].get(r["kind"], 0) + r["count"]
     total = sum(sum(c.values()) for c in counted.values())
     if total == 0:
         return Model(None)
@@ -286,9 +299,12 @@ def learn(found: DataFrame, most: int = TRAIN_SPANS) -> Model:
         prior, table = reliabilities(patterns)
         soft.update(zip(((kind, s) for s in patterns), posterior(list(patterns), prior, table)))
     # Drawn evenly from spans of either sort: base ones may outnumber the others a thousand to one.
-    base = spans.where("base").count()
+    # Within a sort kinds share alike, so that a frequent one leaves rows for the rare ones.
     draw = F.pmod(F.xxhash64("doc_id", "kind", "start"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("base"), most / 2 / max(1, base)).otherwise(most / 2 / max(1, total - base))
+    share = F.lit(0.0)
+    for base, kinds in sorts.items():
+        for kind, part in _parts(kinds, most / 2).items():
+            share = F.when((F.col("base") == base) & (F.col("kind") == kind), part).otherwise(share)
     rows = spans.where(draw < share).select("kind", "votes", "features").toArrow().to_pylist()
     if not rows:
         return Model(None)

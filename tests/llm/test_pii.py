@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from flowlens.llm import pii
 from flowlens.llm.pii import KINDS, base_spans, personal_data, redact, reliabilities, posterior
 
 # The definitions as they stand, without any shortcut
@@ -97,3 +98,14 @@ def test_estimated_reliabilities_find_the_better_labeler():
 def test_empty_table(documents):
     assert personal_data(documents().limit(0)).count() == 0
     assert [r["spans"] for r in personal_data(documents((1, "clean"))).collect()] == [""]
+
+
+def test_a_hot_kind_leaves_rows_for_rare_ones(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(pii, "_fit", lambda features, target: fitted.extend(features) or np.zeros(1))
+    span = lambda i, kind: dict(kind=kind, start=i, stop=i + 9, base=False, votes="yy-", features=[KINDS.index(kind)])
+    rows = [(i, [span(i, "email" if i < 20 else "phone")]) for i in range(5000)]
+    schema = "doc_id bigint, found array<struct<kind string, start int, stop int, base boolean, votes string, features array<int>>>"
+    pii.learn(spark.createDataFrame(rows, schema), most=200)
+    kinds = [KINDS[f[0]] for f in fitted]
+    assert kinds.count("email") == 20 and 40 <= kinds.count("phone") <= 130
