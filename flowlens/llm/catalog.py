@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, exact_dedup, language_id, near_dedup, packing, pii, sentencepiece_codec, sharding, toxicity, url_filter
+from flowlens.llm import ann, exact_dedup, filter_audit, language_id, near_dedup, packing, pii, sentencepiece_codec, sharding, toxicity, url_filter
 from flowlens.llm.tables import table
 
 
@@ -48,6 +48,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, folder, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -59,6 +63,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE = {
@@ -117,4 +122,40 @@ ORACLE = {
         ), smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
         SELECT sizes.doc_id, n AS n_shingles, component_id, sizes.doc_id = component_id AS kept
         FROM sizes JOIN smallest ON sizes.doc_id = smallest.doc_id""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), fails AS (
+            SELECT part, coalesce(quality = 1, false) AS good, coalesce(t2.toxic = 1, false) AS toxic,
+                CAST(len(words) < 200 AS INTEGER)
+                + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER)
+                + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INTEGER)
+                + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+                + 16 * CAST(t.doc_id > min(t.doc_id) OVER (PARTITION BY text) AS INTEGER) AS mask
+            FROM t LEFT JOIN labels AS t2 ON t.doc_id = t2.doc_id
+        ), orders(filter_order) AS (
+            SELECT '' UNION ALL
+            SELECT filter_order || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) AS letters
+            WHERE instr(filter_order, x) = 0
+        ), steps AS (
+            SELECT filter_order, step, list_sum([1 << (ascii(x) - 65) FOR x IN string_split(substr(filter_order, 1, step - 1), '') IF x <> '']) AS earlier,
+                1 << (ascii(substr(filter_order, step, 1)) - 65) AS own
+            FROM orders, range(1, 6) AS s(step) WHERE length(filter_order) = 5
+        ), atoms AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM fails GROUP BY 1, 2
+        ), counted AS (
+            SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+                CAST(coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0) | own) = 0), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & coalesce(earlier, 0) = 0), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & coalesce(earlier, 0) <> 0), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(n_good) FILTER (mask & own <> 0 AND mask & coalesce(earlier, 0) = 0), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(n_toxic) FILTER (mask & own <> 0 AND mask & coalesce(earlier, 0) = 0), 0) AS BIGINT) AS toxic_lost
+            FROM atoms, steps GROUP BY 1, 2, 3, 4
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM counted""",
 }
