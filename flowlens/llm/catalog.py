@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, exact_dedup, filter_audit, language_id, near_dedup, packing, pii, sentencepiece_codec, sharding, toxicity, url_filter
+from flowlens.llm import ann, exact_dedup, filter_audit, language_id, near_dedup, packing, pii, sentencepiece_codec, sharding, target_resampling, toxicity, url_filter
 from flowlens.llm.tables import table
 
 
@@ -48,6 +48,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, folder, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_target_resampling": op11_target_resampling,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -122,6 +127,43 @@ ORACLE = {
         ), smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
         SELECT sizes.doc_id, n AS n_shingles, component_id, sizes.doc_id = component_id AS kept
         FROM sizes JOIN smallest ON sizes.doc_id = smallest.doc_id""",
+    "op11_target_resampling": r"""
+        WITH texts AS (
+            SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+        ), words AS (
+            SELECT side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+            FROM texts
+        ), counted AS (SELECT side, doc_id, word, count(*) AS n FROM words GROUP BY 1, 2, 3),
+        hexed AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM counted),
+        bytes AS (
+            SELECT word, [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, length(h) // 2)] AS b FROM hexed
+        ), hashed AS (
+            SELECT word, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+                lambda acc, x: list_reduce(list_prepend(xor(acc, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                    lambda c, z: xor(c >> 1, (c & 1) * 3988292384)))) % 10000 AS bucket
+            FROM bytes
+        ), features AS (SELECT side, doc_id, bucket, sum(n) AS n FROM counted JOIN hashed ON counted.word = hashed.word GROUP BY 1, 2, 3),
+        totals AS (
+            SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 'd'), 0) AS DOUBLE) AS s,
+                CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS DOUBLE) AS t FROM features GROUP BY 1
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000)
+                / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000)))) AS BIGINT) AS gain FROM totals
+        ), weighed AS (
+            SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight FROM features JOIN gains ON features.bucket = gains.bucket
+            WHERE side = 'd' GROUP BY 1
+        ), scored AS (
+            SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8) AS BIGINT)
+                    + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+            FROM documents LEFT JOIN weighed ON documents.doc_id = weighed.doc_id
+        ), placed AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+            FROM scored WHERE n_features >= 20
+        )
+        SELECT scored.*, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+        FROM scored LEFT JOIN placed ON scored.doc_id = placed.doc_id""",
     "op12_filter_audit": r"""
         WITH RECURSIVE t AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
