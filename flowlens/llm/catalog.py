@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import ann, exact_dedup, filter_audit, language_id, near_dedup, packing, pii, sentencepiece_codec, sharding, target_resampling, toxicity, url_filter
+from flowlens.llm import ann, exact_dedup, filter_audit, language_id, near_dedup, packing, pii, quality_rules, sentencepiece_codec, sharding, target_resampling, toxicity, url_filter
 from flowlens.llm.tables import table
 
 
@@ -56,6 +56,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -69,6 +73,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_target_resampling": op11_target_resampling,
     "op12_filter_audit": op12_filter_audit,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE = {
