@@ -18,7 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.tables import materialize, texts
+from flowlens.llm import workers
+from flowlens.llm.tables import materialize, rows_that_stay, texts
 
 COUNTERS = 256  # of one summary; a digest with 2 / (COUNTERS + 1) of the rows is always found
 
@@ -53,7 +54,7 @@ def _summary(k: int):
                 held = held.filter(pc.greater(held.column("n"), 0))
         yield from held.combine_chunks().to_batches()
 
-    return run
+    return workers.lean(run)
 
 
 def frequent_digests(rows: DataFrame, k: int = COUNTERS) -> DataFrame:
@@ -96,7 +97,10 @@ def exact_groups(documents: DataFrame, k: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(documents: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with their columns. Only ids of dropped rows meet the texts."""
-    dropped = exact_groups(documents, k).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = dropped.select(F.col("doc_id").alias("_dropped_id"))
-    return documents.join(gone, documents["doc_id"] == gone["_dropped_id"], "left_anti")
+    """The documents that stay, with their columns: of equal texts the rows with the smallest id.
+    Rows that repeat both id and text stay or go together; of an id with several texts only the rows
+    go whose text has a smaller id. Rows without doc_id stay."""
+    decided = exact_groups(documents, k).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return rows_that_stay(
+        documents, decided, lambda rows, name: rows.withColumn(name, F.sha2(normalised(rows["text"].cast("string")), 256))
+    )

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.llm import workers
 from flowlens.llm.tables import fold_of, materialize, texts
 from flowlens.llm.word_cache import slices
 
@@ -155,7 +156,7 @@ def _counting(languages: tuple[str, ...]):
             pa.schema([("lang", pa.string()), ("counts", pa.binary())]),
         )
 
-    return run
+    return workers.lean(run)
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +177,7 @@ def _errors(model: Model):
                     n += 1
         yield pa.RecordBatch.from_pydict({"bit": list(range(len(wrong))), "wrong": wrong, "n": [n] * len(wrong)})
 
-    return run
+    return workers.lean(run)
 
 
 def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
@@ -212,9 +213,9 @@ def learn(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model
     return Model(model.languages, model.code, model.weights, reliability / reliability.mean())
 
 
-def _decoded(held):
+def _decoded(held, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _unpickled(held.value)
+        model = workers.unpickled(key, held)
         for batch in batches:
             found = [model.decode(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -225,34 +226,30 @@ def _decoded(held):
                 ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
             )
 
-    return run
-
-
-@lru_cache(maxsize=2)
-def _unpickled(raw: bytes) -> Model:
-    return pickle.loads(raw)
+    return workers.lean(run, key)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, ambiguous."""
-    held = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    raw = pickle.dumps(model)
+    held = documents.sparkSession.sparkContext.broadcast(raw)
     rows = texts(documents)
     rows = rows.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(_decoded(held), "doc_id bigint, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(_decoded(held, workers.key_of(raw)), "doc_id bigint, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     return predict(documents, learn(documents, per_language))
 
 
-def _identified(held, column: int):
+def _identified(held, key: str, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _unpickled(held.value)
+        model = workers.unpickled(key, held)
         for batch in (s for b in batches for s in slices(b, column)):
             found = [model.decode(t.as_py()) for t in batch.column(column)]
             yield batch.filter(pa.array([lang != UNKNOWN and not unsure for lang, _, unsure in found], pa.bool_()))
 
-    return run
+    return workers.lean(run, key)
 
 
 def keep_identified(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
@@ -261,6 +258,7 @@ def keep_identified(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE
     model = learn(documents, per_language)
     if not model.languages:
         return documents
-    held = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    raw = pickle.dumps(model)
+    held = documents.sparkSession.sparkContext.broadcast(raw)
     column = [c.lower() for c in documents.columns].index("text")
-    return documents.mapInArrow(_identified(held, column), documents.schema)
+    return documents.mapInArrow(_identified(held, workers.key_of(raw), column), documents.schema)

@@ -39,10 +39,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from flowlens.llm import workers
 from flowlens.llm.components import connected_components
-from flowlens.llm.tables import materialize, texts
+from flowlens.llm.tables import materialize, rows_that_stay, texts
 from flowlens.llm.word_cache import slices
 
 WORDS = 5
@@ -68,7 +69,7 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     empty = np.asarray(pc.equal(flat, ""))
     coded = flat.filter(pa.array(~empty)).dictionary_encode()
     ends = np.concatenate([[0], np.cumsum(~empty)])[ends - ends[0]]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
     words = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(hashes) else np.empty(0, np.uint64)
     rows = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for j in range(WORDS):
@@ -114,7 +115,7 @@ def _sketched(size: int):
                 ["doc_id", "n_shingles", "set_digest", "sketch"],
             )
 
-    return run
+    return workers.lean(run)
 
 
 def sketches(documents: DataFrame, size: int = SKETCH) -> DataFrame:
@@ -187,7 +188,7 @@ def _estimated(size: int):
                 keep[i] = common * 100 >= PERCENT * len(union) - 100 * slack
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return run
+    return workers.lean(run)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,7 @@ def linked(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int)
     likely = materialize(_sides(pairs, nodes, "n_shingles", "sketch").mapInArrow(_estimated(size), "a bigint, b bigint"))
     concerned = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = full_sets(documents, nodes.select("node", "set_digest", "doc_id").join(concerned, "node"))
-    return materialize(_sides(likely, sets, "set").mapInArrow(_confirmed, "a bigint, b bigint"))
+    return materialize(_sides(likely, sets, "set").mapInArrow(workers.lean(_confirmed), "a bigint, b bigint"))
 
 
 def _member_slots(doc_id: Column) -> Column:
@@ -235,7 +236,7 @@ def _made_again(held):
                     [pa.array([_digest(s) for s in sets], pa.binary()), _lists(sets)], ["set_digest", "set"]
                 )
 
-    return run
+    return workers.lean(run)
 
 
 def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -300,8 +301,8 @@ def node_components(documents: DataFrame, nodes: DataFrame, size: int, hot: int)
     return _components(first.unionByName(second), listed)
 
 
-def near_groups(documents: DataFrame, size: int = SKETCH, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _judged(documents: DataFrame, size: int, hot: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, set_digest."""
     rows = materialize(sketches(documents, size).withColumn("row", F.monotonically_increasing_id()))
     known = rows.where(F.col("doc_id").isNotNull() & F.col("set_digest").isNotNull())
     # One row stands for all documents with its set: the one with the smallest id.
@@ -321,12 +322,33 @@ def near_groups(documents: DataFrame, size: int = SKETCH, hot: int = HOT) -> Dat
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_digest",
     )
 
 
+def near_groups(documents: DataFrame, size: int = SKETCH, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _judged(documents, size, hot).drop("set_digest")
+
+
+def _with_digests(column: int, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, column)):
+            found = pa.array([_digest(s) for s in shingle_sets(batch.column(column))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+
+    return workers.lean(run)
+
+
 def drop_near_copies(documents: DataFrame, size: int = SKETCH, hot: int = HOT) -> DataFrame:
-    """The documents that stay, one of each component, with their columns."""
-    dropped = near_groups(documents, size, hot).where(~F.col("kept"))
-    gone = dropped.select(F.col("doc_id").alias("_dropped_id"))
-    return documents.join(gone, documents["doc_id"] == gone["_dropped_id"], "left_anti")
+    """The documents that stay, with their columns: of each component those with its smallest id.
+    Of an id with several texts only the rows go whose set of shingles has a smaller id in its
+    component. Rows without words, and rows without doc_id, stay."""
+
+    def digested(rows: DataFrame, name: str) -> DataFrame:
+        column = [c.lower() for c in rows.columns].index("text")
+        schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
+        return rows.mapInArrow(_with_digests(column, name), schema)
+
+    decided = _judged(documents, size, hot).select("doc_id", F.col("set_digest").alias("digest"), "kept")
+    return rows_that_stay(documents, decided, digested)

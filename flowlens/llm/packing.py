@@ -17,15 +17,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowlens.llm import workers
 from flowlens.llm.tables import materialize, texts
-from flowlens.llm.word_cache import WordIds, slices
+from flowlens.llm.word_cache import WordIds, flattened, merged, slices
 
 SEQUENCE = 4096
 SEPARATOR = 2
@@ -65,37 +65,56 @@ def _byte_letters() -> dict[int, str]:
 
 class _Words:
     """Ids of words. Those of letters alone go straight to the merges, past the tokenizer's
-    normaliser and splitting, which take most of its time and would change nothing. All others take
-    the whole way."""
+    normaliser and splitting, which take most of its time and would change nothing. They go there
+    many in one string, cut at blanks: a word's last id stands for a piece that ends a word, which
+    tells where it ends. All others take the whole way, one by one."""
+
+    TOGETHER = 2048  # words of letters in a string
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.whole.model)
-        self.signs = _byte_letters()
-        sample = ["word", "Ünïcödé", "STRASSE", "ß", "ÿÀ"]
-        self.direct = self._whole(sample) == self._letters(sample)
-
-    def _whole(self, words: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: Sequence[str]) -> list[list[int]]:
-        written = [w.lower() if w.isascii() else w.lower().translate(self.signs) for w in words]
-        return [e.ids for e in self.merges.encode_batch_fast(written, add_special_tokens=False)]
-
-    def encode(self, words: list[str]) -> list[list[int]]:
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.code_points = np.arange(256, dtype="<u2")
+        for c, sign in _byte_letters().items():
+            self.code_points[list(chr(c).encode())] = [ord(x) for x in sign]
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        pieces = self.whole.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(pieces.values(), default=0) + 1, bool)
+        self.ends_word[[i for piece, i in pieces.items() if suffix and piece.endswith(suffix)]] = True
+        sample = ["word", "Ünïcödé", "STRASSE", "ß", "ÿÀ", "antidisestablishmentarianismus"]
+        self.direct = bool(suffix) and self._letters(sample) is not None and all(
+            np.array_equal(x, y) for x, y in zip(self._whole(sample), self._letters(sample))
+        )
+
+    def _whole(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)])
+
+    def _letters(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """None if the ids don't show where the words end."""
+        joined = (" ".join(words[i : i + self.TOGETHER]).lower() for i in range(0, len(words), self.TOGETHER))
+        written = [self.code_points[np.frombuffer(x.encode(), np.uint8)].tobytes().decode("utf-16-le") for x in joined]
+        found = [np.array(e.ids, "<u4") for e in self.merges.encode_batch_fast(written, add_special_tokens=False)]
+        flat = np.concatenate([np.empty(0, "<u4"), *found])
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
+            return None
+        return flat, np.diff(ends, prepend=0)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [self.direct and _PLAIN.fullmatch(w) is not None for w in words]
-        letters = iter(self._letters([w for w, p in zip(words, plain) if p]))
-        others = iter(self._whole([w for w, p in zip(words, plain) if not p]))
-        return [next(letters if p else others) for p in plain]
+        letters = self._letters([w for w, p in zip(words, plain) if p])
+        if letters is None:
+            return self._whole(words)
+        return merged(np.array(plain, bool), letters, self._whole([w for w, p in zip(words, plain) if not p]))
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordIds:
     """The tokenizer of a file that drops white space and never joins words across it. The splits
     at white space come first in it, and its normaliser works character by character."""
-    return WordIds(_Words(path).encode, _cut)
+    return workers.model(("words", path), lambda: WordIds(_Words(path).encode, _cut))
 
 
 def _tokenised(path: str, separator: int):
@@ -123,7 +142,7 @@ def _tokenised(path: str, separator: int):
             )
             before += int(ends[-1]) if len(ends) else 0
 
-    return run
+    return workers.lean(run, ("words", path))
 
 
 def tokenised(documents: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
@@ -156,7 +175,7 @@ def _pieces(length: int):
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return run
+    return workers.lean(run)
 
 
 def concatenate_and_cut(

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.llm import workers
 from flowlens.llm.tables import materialize, texts
 from flowlens.llm.word_cache import slices
 
@@ -217,7 +218,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(documents: DataFrame) -> DataFrame:
     """(doc_id, found): per document its candidate spans with votes and features."""
-    return texts(documents).mapInArrow(_found, f"doc_id bigint, found array<{CANDIDATE}>")
+    return texts(documents).mapInArrow(workers.lean(_found), f"doc_id bigint, found array<{CANDIDATE}>")
 
 
 def reliabilities(patterns: dict[str, int]) -> tuple[float, np.ndarray]:
@@ -336,7 +337,7 @@ def _decided(held):
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base", "spans"],
             )
 
-    return run
+    return workers.lean(run)
 
 
 def personal_data(documents: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:
@@ -380,7 +381,7 @@ def _redacting(held, column: int, counted: int | None):
                 columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return run
+    return workers.lean(run)
 
 
 def redact(documents: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words held per worker; beyond that the cache starts anew. It only saves time, ids don't depend on it.
+#: Words held per worker, about. They only save time, ids don't depend on them.
 CACHE_WORDS = 250_000
 #: Text handled at once; a single longer text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -31,32 +31,60 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
     pa.default_memory_pool().release_unused()
 
 
+Coded = tuple[np.ndarray, np.ndarray]  # ids of all words one after the other, number of each word's
+
+
+def flattened(ids: Sequence[Sequence[int]], dtype: str = "<u4") -> Coded:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for row in ids for x in row), dtype, int(sizes.sum())), sizes
+
+
+def merged(first: np.ndarray, yes: Coded, no: Coded) -> Coded:
+    """Words of two codings in one order: `first` says which of them is next."""
+    sizes = np.empty(len(first), np.int64)
+    sizes[first], sizes[~first] = yes[1], no[1]
+    which = np.repeat(first, sizes)
+    flat = np.empty(len(which), yes[0].dtype)
+    flat[which], flat[~which] = yes[0], no[0]
+    return flat, sizes
+
+
 class WordIds:
-    """Encodes arrays of texts. `encode` gives the ids of each of a list of words, `split` cuts an
-    array of texts into a list array of words."""
+    """Encodes arrays of texts. `encode` gives the ids of a list of words, `split` cuts an array of
+    texts into a list array of words.
+
+    Words are held in two generations. What is looked up moves to the young one; when that is full
+    the old one goes and the young one takes its place, so that frequent words stay."""
 
     def __init__(
         self,
-        encode: Callable[[Sequence[str]], list[Sequence[int]]],
+        encode: Callable[[list[str]], Coded],
         split: Callable[[pa.Array], pa.Array] = pc.ascii_split_whitespace,
         dtype: str = "<u4",
         max_words: int = CACHE_WORDS,
     ):
         self._encode, self._split, self._dtype, self._max = encode, split, np.dtype(dtype), max_words
-        self._known: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> list[bytes]:
-        found = list(map(self._known.get, words))
-        new = [i for i, f in enumerate(found) if f is None]
+        young, old = self._young, self._old
+        found = list(map(young.get, words))
+        missing = [i for i, f in enumerate(found) if f is None]
+        new = []
+        for i in missing:
+            f = old.get(words[i])
+            if f is None:
+                new.append(i)
+            else:
+                found[i] = young[words[i]] = f
         if new:
-            if len(self._known) + len(new) > self._max:
-                self._known = {}
-            ids = self._encode([words[i] for i in new])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            raw = np.fromiter((x for row in ids for x in row), self._dtype, int(sizes.sum())).tobytes()
-            ends = (np.cumsum(sizes) * self._dtype.itemsize).tolist()
+            flat, sizes = self._encode([words[i] for i in new])
+            raw, ends = flat.astype(self._dtype, copy=False).tobytes(), (np.cumsum(sizes) * self._dtype.itemsize).tolist()
             for i, start, end in zip(new, [0, *ends], ends):
-                found[i] = self._known[words[i]] = raw[start:end]
+                found[i] = young[words[i]] = raw[start:end]
+        if len(young) > self._max // 2:
+            self._young, self._old = {}, young
         return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +94,7 @@ class WordIds:
         words = lists.flatten().dictionary_encode()
         if len(words) == 0:
             return np.empty(0, self._dtype), np.zeros(len(texts), np.int64)
-        coded = self._words(words.dictionary.to_pylist())
+        coded = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist takes ten times as long
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self._dtype.itemsize
         flat, firsts = np.frombuffer(b"".join(coded), self._dtype), np.cumsum(sizes) - sizes
         which = words.indices.to_numpy(zero_copy_only=False)

@@ -52,6 +52,16 @@ def test_dropping_keeps_one_row_of_each_text_with_all_columns(documents):
     assert got.count(None) == 3
 
 
+def test_repeated_ids_with_unlike_texts(documents):
+    rows = [(3, "y text one"), (5, "x unique text"), (5, "y text one"), (5, "x unique  text"), (6, "y\ttext one"), (None, "y text one"), (7, None), (7, "z")]
+    frame = documents(*rows)
+    kept = drop_copies(frame)
+    assert kept.schema == frame.schema
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key)
+    want = [r for r, b in zip(rows, (True, True, False, True, False, True, True, True)) if b]
+    assert got == sorted(want, key=key)
+
+
 def test_empty_table(documents):
     assert exact_groups(documents().limit(0)).count() == 0
     assert drop_copies(documents().limit(0)).count() == 0

@@ -109,3 +109,14 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, 999), (999, 1000), (5000, 5001), (5000, 5002), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(301)}, 999: 999, 1000: 999, 5000: 5000, 5001: 5000, 5002: 5000}
+
+
+def test_dropping_repeated_ids_with_unlike_texts(documents):
+    one, two, close = "y text one " * 9 + "a b c d e f g", "x unique text of six words", "y text one " * 9 + "a b c d e f"
+    rows = [(3, one), (5, two), (5, close), (5, None), (6, close), (None, one), (7, ""), (5, two)]
+    frame = documents(*rows)
+    kept = drop_near_copies(frame)
+    assert kept.schema == frame.schema
+    order = lambda r: tuple((x is None, x) for x in r)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=order)
+    assert got == sorted([(3, one), (5, two), (5, two), (5, None), (None, one), (7, "")], key=order)

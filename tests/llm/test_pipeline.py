@@ -45,3 +45,35 @@ def test_stages_and_run(spark):
     assert sorted((r["doc_id"], r["start"] > 0, r["doc_tokens"]) for r in run if r["start"] == 0) == sorted(
         (r["doc_id"], False, r["doc_tokens"]) for r in packed if r["start"] == 0
     )
+
+
+def written(folder, rows, spark):
+    full = [(i, text, lang, None, None, 1, "x") for i, text, lang in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest int, gone_id string"
+    spark.createDataFrame(full, schema).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Repeated ids with unlike texts, NULLs, names that the stages use, a very long text."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, SMALL, "documents").limit(60).collect()]
+    long = " ".join(f"the {i} of and in wh{i}ing" for i in range(50_000))
+    odd = [(5, docs[20][1], "en"), (5, docs[21][1], None), (None, docs[22][1], "en"), (2000, None, "en"), (2001, "", None), (2002, long, "en"), (2002, long, "en")]
+    folder = written(tmp_path, docs + odd, spark)
+    frame = table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns
+        frame = spark.createDataFrame(out.collect(), frame.schema)
+    # of unlike texts under one id only those with a copy elsewhere are gone
+    left = {(r["doc_id"], r["text"]) for r in frame.collect()}
+    ids = {i for i, _ in left}
+    assert 2000 not in ids and 2001 not in ids and 2002 in ids and None in ids
+    run = corpus_pipeline.run(spark, folder).collect()
+    pieces = sum(r["length"] for r in run)
+    assert pieces == sum(len(brute_ids(r["text"])) for r in frame.collect())
+
+
+def test_empty_table(spark, tmp_path):
+    folder = written(tmp_path, [], spark)
+    assert corpus_pipeline.run(spark, folder).count() == 0
