@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import workers
-from flowlens.llm.tables import fold_of, materialize, texts
-from flowlens.llm.word_cache import slices
+from flowlens.llm.tables import fold_of, in_small_batches, materialize, texts
+from flowlens.llm.word_cache import sliced
 
 TRAIN_PER_LANGUAGE = 5_000
 SLOTS = 1 << 15  # of the hashed n-grams of one length
@@ -245,7 +245,7 @@ def identify(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Da
 def _identified(held, key: str, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = workers.unpickled(key, held)
-        for batch in (s for b in batches for s in slices(b, column)):
+        for batch in sliced(batches, column):
             found = [model.decode(t.as_py()) for t in batch.column(column)]
             yield batch.filter(pa.array([lang != UNKNOWN and not unsure for lang, _, unsure in found], pa.bool_()))
 
@@ -261,4 +261,4 @@ def keep_identified(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE
     raw = pickle.dumps(model)
     held = documents.sparkSession.sparkContext.broadcast(raw)
     column = [c.lower() for c in documents.columns].index("text")
-    return documents.mapInArrow(_identified(held, workers.key_of(raw), column), documents.schema)
+    return in_small_batches(documents).mapInArrow(_identified(held, workers.key_of(raw), column), documents.schema)

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from flowlens.llm import workers
 from flowlens.llm.components import connected_components
 from flowlens.llm.tables import materialize, rows_that_stay, texts
-from flowlens.llm.word_cache import slices
+from flowlens.llm.word_cache import sliced, slices
 
 WORDS = 5
 PERCENT = 75
@@ -105,7 +105,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in sliced(batches, "text"):
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -333,7 +333,7 @@ def near_groups(documents: DataFrame, size: int = SKETCH, hot: int = HOT) -> Dat
 
 def _with_digests(column: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, column)):
+        for batch in sliced(batches, column):
             found = pa.array([_digest(s) for s in shingle_sets(batch.column(column))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.llm import workers
 from flowlens.llm.tables import materialize, texts
-from flowlens.llm.word_cache import WordIds, flattened, merged, slices
+from flowlens.llm.word_cache import WordIds, flattened, merged, sliced
 
 SEQUENCE = 4096
 SEPARATOR = 2
+CACHE_WORDS = 160_000  # held per worker, about
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -114,7 +115,7 @@ class _Words:
 def word_tokenizer(path: str) -> WordIds:
     """The tokenizer of a file that drops white space and never joins words across it. The splits
     at white space come first in it, and its normaliser works character by character."""
-    return workers.model(("words", path), lambda: WordIds(_Words(path).encode, _cut))
+    return workers.model(("words", path), lambda: WordIds(_Words(path).encode, _cut, max_words=CACHE_WORDS))
 
 
 def _tokenised(path: str, separator: int):
@@ -123,7 +124,7 @@ def _tokenised(path: str, separator: int):
 
         part, before = TaskContext.get().partitionId(), 0
         tokenizer = word_tokenizer(path)
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in sliced(batches, "text"):
             ids, ends = tokenizer.ids(batch.column("text"))
             ids = np.insert(ids, ends, separator)
             ends = ends + np.arange(1, len(ends) + 1)

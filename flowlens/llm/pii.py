@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import workers
-from flowlens.llm.tables import materialize, texts
-from flowlens.llm.word_cache import slices
+from flowlens.llm.tables import in_small_batches, materialize, texts
+from flowlens.llm.word_cache import sliced
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_SPANS = 20_000
@@ -211,7 +211,7 @@ def _candidates(text: str) -> list[dict]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (s for b in batches for s in slices(b, "text")):
+    for batch in sliced(batches, "text"):
         found = [_candidates(t.as_py() or "") for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _CANDIDATE)], ["doc_id", "found"])
 
@@ -370,7 +370,7 @@ def redacted(text: str, model: Model) -> str:
 def _redacting(held, column: int, counted: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(held.value)
-        for batch in (s for b in batches for s in slices(b, column)):
+        for batch in sliced(batches, column):
             old = batch.column(column).to_pylist()
             new = [t if t is None else redacted(t, model) for t in old]
             columns = list(batch.columns)
@@ -390,4 +390,4 @@ def redact(documents: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = [c.lower() for c in documents.columns]
     counted = names.index("n_chars") if "n_chars" in names else None
-    return documents.mapInArrow(_redacting(held, names.index("text"), counted), documents.schema)
+    return in_small_batches(documents).mapInArrow(_redacting(held, names.index("text"), counted), documents.schema)

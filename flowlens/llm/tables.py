@@ -15,9 +15,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000  # of documents handed to Python at once
+
+
+def in_small_batches(documents: DataFrame) -> DataFrame:
+    """Documents are long: with Spark's own 10,000 rows, every task holds tens of megabytes of one
+    batch in the JVM and again in Python. Unless the session was given a number of its own, it gets a
+    smaller one. Results don't depend on it."""
+    conf = documents.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return documents
+
+
 def texts(documents: DataFrame) -> DataFrame:
     """(doc_id bigint, text string) of a documents table, whatever else it holds. A missing text
     stays NULL, a missing id too."""
+    in_small_batches(documents)
     return documents.select(
         documents["doc_id"].cast("bigint").alias("doc_id"),
         documents["text"].cast("string").alias("text"),

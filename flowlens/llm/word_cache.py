@@ -49,6 +49,13 @@ def merged(first: np.ndarray, yes: Coded, no: Coded) -> Coded:
     return flat, sizes
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """`slices` of all batches; a batch is let go before the next one is asked for."""
+    for batch in batches:
+        yield from slices(batch, column, most)
+        del batch
+
+
 class WordIds:
     """Encodes arrays of texts. `encode` gives the ids of a list of words, `split` cuts an array of
     texts into a list array of words.

@@ -34,6 +34,7 @@ def model(key: Hashable, build: Callable[[], object]):
         _held.clear()
         trim()
         _held[key] = build()
+        trim()
     return _held[key]
 
 
