@@ -395,7 +395,7 @@ ORACLE["scan_mixed_layouts"] = """
 ORACLE["sink_results"] = _with(
     _TX, _USD,
     select="""SELECT from_bank, from_account, to_bank, to_account, amount_paid, client_id FROM usd
-              WHERE amount_received < 2000 AND client_id IN ('client_0', 'client_1')""",
+              WHERE amount_received < 2000""",
 )
 ORACLE["sink_chunks"] = "SELECT count(*) AS rows, true AS bounded FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
@@ -443,3 +443,49 @@ ORACLE["stream_end_markers"] = """
     FROM events GROUP BY 1
     HAVING count(*) FILTER (WHERE event_type = 'signup') >= 10
        AND count(*) FILTER (WHERE event_type = 'error' AND value > 150) = 0"""
+
+
+def _live(cancelled: str) -> str:
+    """Walks each client through the steps: markers so far, and the step its open input began in."""
+    return f"""
+    WITH RECURSIVE ev AS (
+        SELECT 'u' || CAST(user_id AS STRING) AS client_id, event_type, value, event_id,
+            event_id * 5 // ((SELECT max(event_id) FROM events) + 1) AS step,
+            event_type = 'signup' AS ends, {cancelled} AS cancels
+        FROM events
+    ), per_step AS (
+        SELECT client_id, s.step, count(*) FILTER (ev.step = s.step AND ends) AS ends, bool_or(ev.step = s.step AND cancels) AS cancelled
+        FROM ev, range(0, 5) AS s(step) GROUP BY 1, 2
+    ), walk AS (
+        SELECT DISTINCT client_id, CAST(-1 AS BIGINT) AS step, CAST(0 AS BIGINT) AS ends, CAST(0 AS BIGINT) AS since,
+            CAST(NULL AS BIGINT) AS given_from FROM ev
+        UNION ALL
+        SELECT n.client_id, n.step,
+            CASE WHEN n.cancelled OR w.ends + n.ends >= 3 THEN 0 ELSE w.ends + n.ends END,
+            CASE WHEN n.cancelled OR w.ends + n.ends >= 3 THEN n.step + 1 ELSE w.since END,
+            CASE WHEN NOT n.cancelled AND w.ends + n.ends >= 3 THEN w.since END
+        FROM walk AS w JOIN per_step AS n ON n.client_id = w.client_id AND n.step = w.step + 1
+    )
+    SELECT ev.client_id, event_type, count(*) AS count, round(sum(value), 4) AS value, round(max(value), 4) AS largest,
+        arg_max(lpad(CAST(event_id AS STRING), 12, '0'), (value, -event_id)) AS named, walk.step
+    FROM walk JOIN ev ON ev.client_id = walk.client_id AND ev.step BETWEEN given_from AND walk.step
+    WHERE NOT ev.ends AND NOT cancels GROUP BY ev.client_id, event_type, walk.step"""
+
+
+ORACLE["stream_live_answers"] = _live("false")
+ORACLE["stream_live_tombstones"] = _live("event_type = 'error' AND value > 180")
+ORACLE["stream_live_marks"] = """
+    WITH deliveries AS (
+        SELECT 'u' || CAST(user_id AS STRING) AS client_id, CASE WHEN event_type <> 'error' THEN event_type END AS sender,
+            event_id AS msg_id, round(value, 4) AS amount_paid,
+            event_id * 5 // ((SELECT max(event_id) FROM events) + 1) + copy
+                + CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN 1 ELSE 0 END AS step
+        FROM events, range(0, 2) AS c(copy) WHERE copy = 0 OR event_type = 'purchase'
+    ), tops AS (SELECT client_id, sender, step, max(msg_id) AS top FROM deliveries GROUP BY 1, 2, 3)
+    SELECT * FROM deliveries AS d WHERE sender IS NULL OR msg_id > coalesce(
+        (SELECT max(top) FROM tops AS t WHERE t.client_id = d.client_id AND t.sender = d.sender AND t.step < d.step), -1)"""
+ORACLE["stream_all_by_client"] = ORACLE["all_queries_by_client"]
+ORACLE["stream_failed_batch"] = """
+    SELECT branch, count(*) AS rows, CAST(8 AS BIGINT) AS batches, CAST(2 AS BIGINT) AS batches_before, true AS fewer_before
+    FROM (SELECT event_type, unnest(CASE WHEN event_type = 'error' THEN ['all'] WHEN event_type = 'purchase'
+        THEN ['all', 'named', 'all', 'named'] ELSE ['all', 'named'] END) AS branch FROM events) GROUP BY 1"""

@@ -111,10 +111,10 @@ def scan_mixed_layouts(spark, folder):
 
 @query
 def sink_results(spark, folder):
-    """Answers of two clients written one after the other, and the first once more."""
+    """Answers of each client written one after the other, and the first once more."""
     path, by = run_folder(spark, "sink-results"), ["client_id"]
     small = questions.small_payments(_usd(spark, folder), PARAMETERS, by)
-    for client in ("client_0", "client_1", "client_0"):
+    for client in ("client_0", "client_1", "client_2", "client_0"):
         results.write_results({"q1": small.where(F.col("client_id") == client)}, path, "client_id")
     return results.read_result(spark, f"{path}/q1", "q1", "client_id")
 

@@ -3,21 +3,25 @@ micro-batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.catalog.queries import PARAMETERS, ROUTES, money, query
 from flowlens.operators.aggregates import row_count
 from flowlens.operators.joins import union_streams
 from flowlens.operators.routing import split
-from flowlens.plans.questions import in_currency
-from flowlens.session import run_folder
+from flowlens.plans.questions import as_one_table, in_currency
+from flowlens.session import materialize, run_folder
 from flowlens.sources import sample_views as views
 from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
 from flowlens.streaming import questions
 from flowlens.streaming.completion import CompletedClients
 from flowlens.streaming.ingest import stream_parquet
+from flowlens.streaming.live import Tally, above_live_mark, completed
 from flowlens.streaming.replays import above_high_mark, drop_repeats, high_mark_branches
-from flowlens.streaming.runs import appended, run
+from flowlens.streaming.runs import appended, committed, numbered, run
 
 
 BATCHES = 8
@@ -36,6 +40,16 @@ def _transactions(spark: SparkSession, folder: str) -> DataFrame:
     return views.transactions_of(_stream(spark, folder, "lineitem"), views.table(spark, folder, "orders"))
 
 
+def _arriving(rows: DataFrame, name: str, steps: int, started: Callable[[DataFrame], None]) -> None:
+    """Writes the rows of each step, in as many files as they come in, and runs the stream after it:
+    what arrives in a step is one micro-batch, and each starts anew from the checkpoint."""
+    spark, path = rows.sparkSession, run_folder(rows.sparkSession, f"in-{name}")
+    schema = rows.drop("step").schema
+    for step in range(steps):
+        rows.where(F.col("step") == step).drop("step").write.mode("append").parquet(path)
+        started(stream_parquet(spark, path, schema))
+
+
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
     return views.messages_of(_stream(spark, folder, "events"), repeats=True)
 
@@ -157,17 +171,15 @@ def high_mark(spark, folder):
 
 @query
 def stream_high_mark(spark, folder):
-    """The messages in the order of their arrival, four files of first deliveries and four of
+    """The messages in the order of their arrival, four steps of first deliveries and four of
     second ones: the marks of a batch hold for all later ones."""
     arrived = _arrivals(views.messages(spark, folder, repeats=True))
     last = views.table(spark, folder, "events").agg(F.max("event_id")).first()[0] or 0
-    source, path, step = run_folder(spark, "in-arrivals"), run_folder(spark, "stream-high-mark"), last // 4 + 200
-    for low in (copy * 1_000_000_000_000 + part * step for copy in (1, 2) for part in range(4)):
-        part = arrived.where((F.col("arrival") >= low) & (F.col("arrival") < low + step))
-        part.coalesce(1).write.mode("append").parquet(source)
-    messages = stream_parquet(spark, source, arrived.schema, 1)
-    run(messages, path, high_mark_branches("arrival", path, block=1000))
-    return appended(spark, path, "rows", messages.schema)
+    path, copy = run_folder(spark, "stream-high-mark"), F.floor(F.col("arrival") / 1_000_000_000_000)
+    part = F.floor((F.col("arrival") - copy * 1_000_000_000_000) / (last // 4 + 200))
+    steps = arrived.withColumn("step", (copy - 1) * 4 + part)
+    _arriving(steps, "arrivals", 8, lambda messages: run(messages, path, high_mark_branches("arrival", path, block=1000)))
+    return appended(spark, path, "rows", arrived.schema)
 
 
 @query
@@ -177,9 +189,15 @@ def stream_end_markers(spark, folder):
     and errors come last: a tombstone is for what its client has sent so far."""
     table, source = views.table(spark, folder, "events"), run_folder(spark, "in-markers")
     error = F.col("event_type") == "error"
-    table.where(~error).repartition(BATCHES - 1).write.parquet(source)
-    table.where(error).coalesce(1).write.mode("append").parquet(source)
-    events = stream_parquet(spark, source, views.SCHEMAS["events"], 1)
+    job = _counting_job(run_folder(spark, "stream-end-markers"))
+    for some, files in ((table.where(~error).repartition(BATCHES - 1), 1), (table.where(error), None)):
+        some.write.mode("append").parquet(source)
+        job.run(_twice(stream_parquet(spark, source, views.SCHEMAS["events"], files)))
+    return job.answer(spark)
+
+
+def _twice(events: DataFrame) -> DataFrame:
+    """The events as messages of the kinds above, those with a sender delivered twice."""
     kind = (
         F.when(F.col("event_type") == "signup", END_TYPE)
         .when((F.col("event_type") == "error") & (F.col("value") > 150), CANCEL_TYPE)
@@ -192,9 +210,12 @@ def stream_end_markers(spark, folder):
         F.col("event_id").alias("msg_id"),
     )
     times = F.when(F.col("sender").isNotNull(), 2).otherwise(1)
-    twice = messages.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
-    job = CompletedClients(
-        run_folder(spark, "stream-end-markers"),
+    return messages.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
+
+
+def _counting_job(folder: str) -> CompletedClients:
+    return CompletedClients(
+        folder,
         partial=lambda rows: row_count(rows, ["client_id"]),
         merge=lambda partials, complete: complete.join(
             partials.groupBy("client_id").agg(F.sum("count").alias("count")), "client_id", "left"
@@ -202,5 +223,108 @@ def stream_end_markers(spark, folder):
         schema="client_id string, count bigint",
         expected_markers=10,
     )
-    job.run(twice)
-    return job.answer(spark)
+
+
+STEPS = 5
+
+
+def _live_events(spark: SparkSession, folder: str, cancels: bool) -> DataFrame:
+    """All events in five steps by id; signups end an input, large errors cancel it, all but errors
+    are delivered twice, the second time in the same or the next step."""
+    events = views.table(spark, folder, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    cancel = (F.col("event_type") == "error") & (F.col("value") > 180) & F.lit(cancels)
+    step = F.floor(F.col("event_id") * STEPS / (last + 1))
+    kind = F.when(F.col("event_type") == "signup", END_TYPE).when(cancel, CANCEL_TYPE).otherwise("raw_transactions")
+    messages = events.select(
+        F.concat(F.lit("u"), "user_id").alias("client_id"), kind.alias("type"), "event_type", "value",
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("sender"), F.col("event_id").alias("msg_id"), step.alias("step"),
+    )
+    again = messages.where(F.col("sender").isNotNull() & (F.col("type") != CANCEL_TYPE))
+    later = F.least(F.col("step") + F.col("msg_id") % 2, F.lit(STEPS - 1))
+    return messages.unionByName(again.withColumn("step", later))
+
+
+def _live_answers(spark: SparkSession, folder: str, name: str, cancels: bool) -> DataFrame:
+    path, tally = run_folder(spark, name), Tally(keys=("event_type",), rows="count", sums=("value",), largest="largest", named_by="named")
+    rows, schemas = _live_events(spark, folder, cancels), []
+
+    def started(messages: DataFrame) -> None:
+        named = drop_repeats(messages).withColumns({"largest": F.col("value"), "named": F.lpad(F.col("msg_id").cast("string"), 12, "0")})
+        answers = completed(named, tally, expected_markers=3)
+        schemas.append(answers.schema)
+        run(answers, path)
+
+    _arriving(rows, name, STEPS, started)
+    found = numbered(spark, path, "rows", schemas[-1])
+    return found.select("client_id", "event_type", "count", money("value"), money("largest"), "named", F.col("batch").alias("step"))
+
+
+@query
+def stream_live_answers(spark, folder):
+    """Answers given in the micro-batch in which a client's third end marker comes, and again with
+    the next three; `step` is that micro-batch."""
+    return _live_answers(spark, folder, "stream-live-answers", cancels=False)
+
+
+@query
+def stream_live_tombstones(spark, folder):
+    """The same with cancellations: a client's rows and markers up to the tombstone's micro-batch are
+    gone, those of later ones count from nothing."""
+    return _live_answers(spark, folder, "stream-live-tombstones", cancels=True)
+
+
+@query
+def stream_live_marks(spark, folder):
+    """Messages above the mark of earlier micro-batches. Every fifth view comes a step late, second
+    copies of purchases one step after the first."""
+    messages = views.messages(spark, folder, repeats=True)
+    last = messages.agg(F.max("msg_id")).first()[0] or 0
+    late = F.when((F.col("sender") == "view") & (F.col("msg_id") % 5 == 0), 1).otherwise(0)
+    step = F.floor(F.col("msg_id") * STEPS / (last + 1)) + late + F.col("copy") - 1
+    path, rows = run_folder(spark, "stream-live-marks"), messages.withColumn("step", step).drop("copy")
+    _arriving(rows, "live-marks", STEPS + 1, lambda stream: run(above_live_mark(stream), path))
+    found = numbered(spark, path, "rows", rows.drop("step").schema)
+    return found.select("client_id", "sender", "msg_id", money("amount_paid"), F.col("batch").alias("step"))
+
+
+@query
+def stream_all_by_client(spark, folder):
+    """All five answers per client from one pass over one stream."""
+    by = ["client_id"]
+    each_client = F.explode(F.array(*(F.lit(f"client_{i}") for i in range(3))))
+    accounts = views.accounts(spark, folder).withColumn("client_id", each_client)
+    clients = accounts.select("client_id").distinct()
+    answers = questions.answer_all_stream(
+        _transactions(spark, folder), accounts, views.rates(spark, folder), run_folder(spark, "stream-all"), PARAMETERS, by, clients
+    )
+    return as_one_table(answers, by)
+
+
+@query
+def stream_failed_batch(spark, folder):
+    """A writer that fails between the branches of its third micro-batch, and a second run: rows that
+    a reader sees in each branch, before the second run (`seen` 1) and after it (`seen` 2)."""
+    path, rows = run_folder(spark, "stream-failed"), _messages(spark, folder).drop("copy")
+
+    def branches(fails: bool):
+        def made(batch: DataFrame, number: int) -> dict[str, DataFrame]:
+            broken = batch.where(F.raise_error(F.lit("the writer is gone")).isNull())
+            return {"all": batch, "named": broken if fails and number == 2 else batch.where(F.col("sender").isNotNull())}
+
+        return made
+
+    seen = []
+    for attempt, fails in ((1, True), (2, False)):
+        try:
+            run(rows, path, branches(fails), atomic=True)
+        except StreamingQueryException:
+            if not fails:
+                raise
+        parts = [committed(spark, path, b, rows.schema).withColumn("branch", F.lit(b)) for b in ("all", "named")]
+        counts = union_streams(*parts).groupBy("branch").agg(F.count("*").alias("rows"), F.countDistinct("batch").alias("batches"))
+        seen.append(materialize(counts.withColumn("seen", F.lit(attempt))))
+    whole = seen[1].select("branch", "rows", "batches")
+    first = seen[0].select("branch", F.col("batches").alias("batches_before"), F.col("rows").alias("rows_before"))
+    # which rows a micro-batch holds is up to the files, so that of the first run only its batches count
+    return whole.join(first, "branch").select("branch", "rows", "batches", "batches_before", (F.col("rows_before") < F.col("rows")).alias("fewer_before"))

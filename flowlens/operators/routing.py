@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.cleaning import shard_number
@@ -44,10 +43,3 @@ def with_shard(df: DataFrame, key: Sequence[str], shards: int, column: str = "sh
     Ordinary queries need none of this: Spark hashes shuffle keys itself."""
     text = F.concat_ws("_", *(F.coalesce(F.col(k), F.lit("None")) for k in key))
     return df.withColumn(column, shard_number(text, shards))
-
-
-def fan_out(df: DataFrame) -> DataFrame:
-    """Marks an input that several branches read, so it is parsed once. Meant for text
-    sources; columnar ones prune and filter better when each branch scans for itself.
-    The blocks live on executor disks and are recomputed if lost; unpersist when done."""
-    return df.persist(StorageLevel.DISK_ONLY)

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+COMMITTED = "committed"
 BatchBranches = Callable[[DataFrame, int], Mapping[str, DataFrame]]
 
 
@@ -22,10 +23,12 @@ def start(
     branches: BatchBranches,
     mode: str = "append",
     every: str | None = None,
+    atomic: bool = False,
 ) -> StreamingQuery:
     """Starts a query that writes each branch of each batch to
     ``folder/<branch>/batch=<number>``. It stops when the available input is used up, or
-    goes on with a batch `every` so often."""
+    goes on with a batch `every` so often. With `atomic` a row in ``folder/committed/batch=<number>``
+    says, last of all, that a batch's branches are all there, for readers by `committed`."""
 
     def write(batch: DataFrame, number: int) -> None:
         outputs = branches(batch, number)
@@ -33,6 +36,9 @@ def start(
         try:
             for name, df in outputs.items():
                 df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+            if atomic:
+                done = batch.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("number"))
+                done.write.mode("overwrite").parquet(f"{folder}/{COMMITTED}/batch={number}")
         finally:
             if shared is not None:
                 shared.unpersist()
@@ -46,10 +52,20 @@ def start(
     )
 
 
-def run(stream: DataFrame, folder: str, branches: BatchBranches | None = None, mode: str = "append") -> None:
+def run(
+    stream: DataFrame, folder: str, branches: BatchBranches | None = None, mode: str = "append", atomic: bool = False
+) -> None:
     """`start` and wait. The recommended settings keep state in RocksDB, where it may outgrow
     memory; they belong to the session, which several streams share."""
-    start(stream, folder, branches or (lambda df, _: {"rows": df}), mode).awaitTermination()
+    start(stream, folder, branches or (lambda df, _: {"rows": df}), mode, atomic=atomic).awaitTermination()
+
+
+def committed(spark: SparkSession, folder: str, branch: str, schema: T.StructType) -> DataFrame:
+    """A branch as far as all branches of its batches are written, with the batch's number: what a
+    batch left behind that failed between two branches isn't seen. The numbers are one per batch."""
+    done = _read_or_empty(spark, f"{folder}/{COMMITTED}", T.StructType([T.StructField("number", T.LongType())]))
+    rows = numbered(spark, folder, branch, schema)
+    return rows.join(done, rows["batch"] == done["number"], "left_semi")
 
 
 def appended(spark: SparkSession, folder: str, branch: str, schema: T.StructType) -> DataFrame:

@@ -4,7 +4,6 @@ import os
 
 import pytest
 
-from flowlens.operators import routing
 from flowlens.operators.validate import same_multiset
 from flowlens.plans import questions
 from flowlens.sources import sample_views as views
@@ -59,9 +58,3 @@ def test_answers(spark, usual, monkeypatch, partitions, conf):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-
-
-def test_fan_out_keeps_rows(spark):
-    tx = routing.fan_out(views.transactions(spark, FOLDER))
-    assert tx.count() == views.transactions(spark, FOLDER).count()
-    tx.unpersist()
