@@ -28,10 +28,10 @@ from flowlens.llm import hnsw
 from flowlens.llm.tables import materialize
 
 NEAREST = 20
-BEAM = 160
+BEAM = 200
 SHARDS = 8  # at least
-SHARD_ROWS = 50_000  # vectors of a shard, about
-BLOCK_ROWS = 4_096  # queries of a block, about
+SHARD_ROWS = 6_000  # vectors of a shard, about: many small graphs under a narrow beam find more than few large ones
+BLOCK_ROWS = 16_384  # queries of a block, about: every block reads the whole index
 SALTS = 64
 
 INDEX = "size int, shard int, starts array<bigint>, ids array<bigint>, vectors binary, nodes array<binary>, links array<binary>"
@@ -85,7 +85,7 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def _graph(row: pd.Series) -> hnsw.Graph:
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["size"] + 1)
+    vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["size"] + hnsw.EXTRA)
     levels = []
     for nodes, links in zip(row["nodes"], row["links"]):
         nodes = np.frombuffer(nodes, "<i4").astype(np.int64)
@@ -105,7 +105,7 @@ def _searching(nearest: int, beam: int):
         asked = np.stack(queries["vector"].to_numpy()).astype(np.float32)
         own = queries["vec_id"].to_numpy()
         nodes = graph.search(asked, max(beam, nearest + 1), nearest + 1)
-        original = graph.vectors[:, :-1]
+        original = graph.vectors[:, : -hnsw.EXTRA]
         out = []
         for i in range(len(asked)):
             near = nodes[i][nodes[i] >= 0]

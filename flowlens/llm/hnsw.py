@@ -1,9 +1,12 @@
 """Hierarchical navigable small-world graphs as flat arrays, built and searched in NumPy.
 
 Nodes are inserted, and queries answered, many at a time: all beams of a batch take their next step
-together. Vectors are compared by inner product. When a graph is built every vector gets one more
-component that brings all to the same length, so that the largest inner product is also the least
-distance; a query has zero there.
+together. Vectors are compared by inner product. When a graph is built every vector x gets one more
+component e that brings all to the same length R, so that the largest inner product is also the least
+distance; a query has zero there. With one very long vector all e come close to R, and single
+precision would drown their products x.y + e_x * e_y in R * R, which is the same for every pair. So
+a = e - R is stored, found without cancellation as -|x|^2 / (e + R), and R * a, for
+e_x * e_y - R * R = a_x * a_y + R * a_x + R * a_y.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ LINKS = 16  # per node above the ground, twice as many on it
 BUILD_BEAM = 96
 STEP = 4  # nodes of a beam that are expanded at once
 BATCH = 256
+EXTRA = 3  # a, R * a and 1; a node that is compared with others has the last two the other way round
 
 
 @dataclass
@@ -23,12 +27,12 @@ class Graph:
     """levels[0] is the top. Each has the nodes of the level and a row of neighbours per node, as
     places within the level, -1 where there is none."""
 
-    vectors: np.ndarray  # float32, with the component that evens out lengths
+    vectors: np.ndarray  # float32, with the EXTRA components that even out lengths
     levels: list[tuple[np.ndarray, np.ndarray]]
 
     def search(self, queries: np.ndarray, beam: int, k: int) -> np.ndarray:
         """Nodes nearest to each query, nearest first, -1 where there are fewer."""
-        queries = np.concatenate([queries, np.zeros((len(queries), 1), queries.dtype)], 1)
+        queries = np.concatenate([queries, np.zeros((len(queries), EXTRA), queries.dtype)], 1)
         found = np.full((len(queries), k), -1, np.int64)
         for start in range(0, len(queries), BATCH):
             some = queries[start : start + BATCH]
@@ -44,6 +48,16 @@ class Graph:
         return found
 
 
+def _asking(nodes: np.ndarray) -> np.ndarray:
+    """Nodes as the other side of a comparison."""
+    return np.concatenate([nodes[..., :-2], nodes[..., -1:], nodes[..., -2:-1]], -1)
+
+
+def _products(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of each row of `one` with its own rows in `many`."""
+    return np.matmul(many, one[:, :, None])[:, :, 0]
+
+
 def _entries(ids: np.ndarray, nodes: np.ndarray, below: np.ndarray) -> np.ndarray:
     """Places on the next level of nodes found on this one; both lists of nodes are sorted."""
     return np.where(ids >= 0, np.searchsorted(below, nodes[ids]), -1)
@@ -66,7 +80,7 @@ def _beams(
         repeat[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
         ranked[repeat | seen[rows, ranked]] = -1
         seen[rows, ranked] = True
-        near = np.einsum("nkd,nd->nk", vectors[ranked], queries)
+        near = _products(vectors[ranked], queries)
         return ranked, np.where(ranked >= 0, near, -np.inf)
 
     ids, near = unseen(np.where(entry < filled, entry, -1))
@@ -91,6 +105,7 @@ def _spread(vectors: np.ndarray, own: np.ndarray, candidates: np.ndarray, near:
     to the node than to every one taken before; places left are filled with the nearest others."""
     n, width = candidates.shape
     apart = vectors[candidates]  # row, candidate, component
+    between = np.matmul(apart, _asking(apart).transpose(0, 2, 1))  # all candidates of a row
     taken, count = np.zeros((n, width), bool), np.zeros(n, np.int64)
     closest = np.full((n, width), -np.inf)  # of each candidate to those taken
     for i in range(width):
@@ -99,8 +114,7 @@ def _spread(vectors: np.ndarray, own: np.ndarray, candidates: np.ndarray, near:
             continue
         taken[:, i] = take
         count += take
-        to_this = np.einsum("nkd,nd->nk", apart[take], apart[take, i])
-        closest[take] = np.maximum(closest[take], to_this)
+        closest = np.where(take[:, None], np.maximum(closest, between[:, :, i]), closest)
     rank = np.where(candidates < 0, 3 * width, np.arange(width)[None, :] + np.where(taken, 0, width))
     order = np.argsort(rank, 1, kind="stable")[:, :most]
     chosen = np.take_along_axis(candidates, order, 1)
@@ -118,7 +132,7 @@ def _link_level(vectors: np.ndarray, most: int, entries) -> np.ndarray:
         stop = min(n, start + (BATCH if start >= BATCH else BATCH - start))
         new = np.arange(start, stop)
         # nodes of a batch do not see each other in the graph yet, so they are compared directly
-        mates = vectors[new] @ vectors[new].T
+        mates = _asking(vectors[new]) @ vectors[new].T
         np.fill_diagonal(mates, -np.inf)
         width = min(BUILD_BEAM, max(1, len(new) - 1))
         top = np.argsort(-mates, 1, kind="stable")[:, :width]
@@ -126,7 +140,7 @@ def _link_level(vectors: np.ndarray, most: int, entries) -> np.ndarray:
         if len(new) == 1:
             ids = np.full_like(ids, -1)
         if start:
-            old, old_near = _beams(vectors, links, start, vectors[new], entries(start, stop), BUILD_BEAM)
+            old, old_near = _beams(vectors, links, start, _asking(vectors[new]), entries(start, stop), BUILD_BEAM)
             ids, near = np.concatenate([old, ids], 1), np.concatenate([old_near, near], 1)
             order = np.argsort(-near, 1, kind="stable")[:, :BUILD_BEAM]
             ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
@@ -152,7 +166,7 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, most: in
         part, own = rows[begin : begin + BATCH], at[begin : begin + BATCH]
         ranked = np.sort(part, 1)[:, ::-1]
         ranked[:, 1:][ranked[:, 1:] == ranked[:, :-1]] = -1
-        near = np.einsum("nkd,nd->nk", vectors[ranked], vectors[own])
+        near = _products(vectors[ranked], _asking(vectors[own]))
         near = np.where(ranked >= 0, near, -np.inf)
         order = np.argsort(-near, 1, kind="stable")
         links[own] = _spread(vectors, own, np.take_along_axis(ranked, order, 1), np.take_along_axis(near, order, 1), most)
@@ -161,8 +175,10 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, most: in
 def build(vectors: np.ndarray, seed: int = 0) -> Graph:
     """The graph of distinct vectors (float32, one per row)."""
     square = (vectors.astype(np.float64) ** 2).sum(1)
-    even = np.sqrt(np.maximum(square.max(initial=0) - square, 0)).astype(np.float32)
-    full = np.concatenate([vectors.astype(np.float32), even[:, None]], 1)
+    most = square.max(initial=0)
+    a = -square / (np.sqrt(np.maximum(most - square, 0)) + np.sqrt(most))
+    extra = np.stack([a, np.sqrt(most) * a, np.ones_like(a)], 1).astype(np.float32)
+    full = np.concatenate([vectors.astype(np.float32), extra], 1)
     n = len(full)
     height = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
     levels: list[tuple[np.ndarray, np.ndarray]] = []
@@ -173,7 +189,7 @@ def build(vectors: np.ndarray, seed: int = 0) -> Graph:
             entry = np.zeros((stop - start, 1), np.int64)
             for i, (upper, links) in enumerate(levels):
                 below = levels[i + 1][0] if i + 1 < len(levels) else nodes
-                ids, _ = _beams(full[upper], links, len(upper), full[nodes[start:stop]], entry, 8)
+                ids, _ = _beams(full[upper], links, len(upper), _asking(full[nodes[start:stop]]), entry, 8)
                 entry = _entries(ids, upper, below)
             # the first node is in the graph in any case
             return np.concatenate([entry, np.zeros((stop - start, 1), np.int64)], 1)
