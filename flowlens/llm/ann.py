@@ -6,6 +6,8 @@ bounded size; every block meets every shard in a task of its own, which returns
 candidates with their exact inner products, and a ranking per query merges them. The work for a
 query grows with the logarithm of a shard's size times the number of shards.
 
+The longest vectors of a shard are held apart from its graph and compared with every query.
+
 Equal vectors are one node of the graph. Of each vector only its NEAREST + 1 smallest ids can ever
 be among the NEAREST of a query (ties go to the smaller id, and the query's own row is left out), so
 no more are kept; hot vectors are cut down in salted groups first.
@@ -34,7 +36,7 @@ SHARD_ROWS = 6_000  # vectors of a shard, about: many small graphs under a narro
 BLOCK_ROWS = 16_384  # queries of a block, about: every block reads the whole index
 SALTS = 64
 
-INDEX = "size int, shard int, starts array<bigint>, ids array<bigint>, vectors binary, nodes array<binary>, links array<binary>"
+INDEX = "size int, shard int, starts array<bigint>, ids array<bigint>, vectors binary, nodes array<binary>, links array<binary>, apart binary"
 
 
 def usable(vector: Column) -> Column:
@@ -74,6 +76,7 @@ def _built(group: pd.DataFrame) -> pd.DataFrame:
             "ids": [ids[order].tolist()], "vectors": [graph.vectors.tobytes()],
             "nodes": [[n.astype("<i4").tobytes() for n, _ in graph.levels]],
             "links": [[k.astype("<i4").tobytes() for _, k in graph.levels]],
+            "apart": [graph.apart.astype("<i4").tobytes()],
         }
     )
 
@@ -90,7 +93,7 @@ def _graph(row: pd.Series) -> hnsw.Graph:
     for nodes, links in zip(row["nodes"], row["links"]):
         nodes = np.frombuffer(nodes, "<i4").astype(np.int64)
         levels.append((nodes, np.frombuffer(links, "<i4").astype(np.int64).reshape(len(nodes), -1)))
-    return hnsw.Graph(vectors, levels)
+    return hnsw.Graph(vectors, levels, np.frombuffer(row["apart"], "<i4").astype(np.int64))
 
 
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -108,7 +111,7 @@ def _searching(nearest: int, beam: int):
         original = graph.vectors[:, : -hnsw.EXTRA]
         out = []
         for i in range(len(asked)):
-            near = nodes[i][nodes[i] >= 0]
+            near = np.concatenate([nodes[i][nodes[i] >= 0], graph.apart])
             # row by row, so that a score depends on the two vectors alone
             scores = (original[near].astype(np.float64) * asked[i].astype(np.float64)).sum(1)
             counts = starts[near + 1] - starts[near]

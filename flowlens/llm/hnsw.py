@@ -19,6 +19,7 @@ LINKS = 16  # per node above the ground, twice as many on it
 BUILD_BEAM = 96
 STEP = 4  # nodes of a beam that are expanded at once
 BATCH = 256
+LONGEST = 64  # vectors of a graph that are held apart: they are near to everything and would draw every path
 EXTRA = 3  # a, R * a and 1; a node that is compared with others has the last two the other way round
 
 
@@ -29,9 +30,10 @@ class Graph:
 
     vectors: np.ndarray  # float32, with the EXTRA components that even out lengths
     levels: list[tuple[np.ndarray, np.ndarray]]
+    apart: np.ndarray  # the longest vectors, which are on no level: to be compared with every query
 
     def search(self, queries: np.ndarray, beam: int, k: int) -> np.ndarray:
-        """Nodes nearest to each query, nearest first, -1 where there are fewer."""
+        """Nodes of the levels nearest to each query, nearest first, -1 where there are fewer."""
         queries = np.concatenate([queries, np.zeros((len(queries), EXTRA), queries.dtype)], 1)
         found = np.full((len(queries), k), -1, np.int64)
         for start in range(0, len(queries), BATCH):
@@ -175,15 +177,18 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, most: in
 def build(vectors: np.ndarray, seed: int = 0) -> Graph:
     """The graph of distinct vectors (float32, one per row)."""
     square = (vectors.astype(np.float64) ** 2).sum(1)
-    most = square.max(initial=0)
+    count = min(LONGEST, len(vectors) // 8)
+    order = np.argsort(square, kind="stable")
+    apart, rest = np.sort(order[len(order) - count :]), np.sort(order[: len(order) - count])
+    most = square[rest].max(initial=0)
     a = -square / (np.sqrt(np.maximum(most - square, 0)) + np.sqrt(most))
     extra = np.stack([a, np.sqrt(most) * a, np.ones_like(a)], 1).astype(np.float32)
     full = np.concatenate([vectors.astype(np.float32), extra], 1)
-    n = len(full)
+    n = len(rest)
     height = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     for depth in range(height.max(initial=0), -1, -1):
-        nodes = np.flatnonzero(height >= depth)
+        nodes = rest[height >= depth]
 
         def entries(start: int, stop: int, nodes=nodes) -> np.ndarray:
             entry = np.zeros((stop - start, 1), np.int64)
@@ -195,4 +200,4 @@ def build(vectors: np.ndarray, seed: int = 0) -> Graph:
             return np.concatenate([entry, np.zeros((stop - start, 1), np.int64)], 1)
 
         levels.append((nodes, _link_level(full[nodes], LINKS * (2 if depth == 0 else 1), entries)))
-    return Graph(full, levels)
+    return Graph(full, levels, apart)

@@ -46,6 +46,15 @@ def test_recall_and_scores(spark, scaled):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
+def test_recall_beside_very_long_vectors(spark):
+    dice = np.random.default_rng(8)
+    vectors = dice.normal(size=(4000, 24)).astype(np.float32)
+    vectors[dice.permutation(4000)[:8]] *= 10_000
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    want, got = brute(rows, 20, 20), answers(nearest_neighbours(frame(spark, rows), shard_rows=2000))
+    assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
 def test_special_rows_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, []),
@@ -66,9 +75,12 @@ def test_graph_reaches_every_node(n):
     found = graph.search(vectors, 64, 1)
     # nodes compare as points of one length: by distance
     pairs = graph.vectors @ hnsw._asking(graph.vectors).T
-    square = (vectors.astype(float) ** 2).sum(1)
-    even = np.sqrt(square.max() - square)
-    want = vectors.astype(float) @ vectors.T + np.outer(even, even) - square.max()
-    assert np.allclose(pairs, want, atol=1e-3 * square.max())
-    best = np.argmax(vectors @ vectors.T, 1)
+    square, most = (vectors.astype(float) ** 2).sum(1), 0
+    rest = np.setdiff1d(np.arange(n), graph.apart)
+    most = square[rest].max()
+    even = np.sqrt(most - square[rest])
+    want = vectors[rest].astype(float) @ vectors[rest].T + np.outer(even, even) - most
+    assert np.allclose(pairs[np.ix_(rest, rest)], want, atol=1e-3 * most)
+    assert len(graph.apart) == min(64, n // 8) and (not len(graph.apart) or square[graph.apart].min() >= most)
+    best = rest[np.argmax(vectors @ vectors[rest].T, 1)]
     assert (found[:, 0] == best).mean() > 0.97
