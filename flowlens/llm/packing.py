@@ -14,6 +14,7 @@ be short; `padded_length` is what it is padded to: nothing at a power of two, el
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -73,6 +74,8 @@ class _Words:
     TOGETHER = 2048  # words of letters in a string
 
     def __init__(self, path: str):
+        # a task has the cores Spark gave it; threads beyond these only bring heaps of their own
+        os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)

@@ -16,6 +16,10 @@ from functools import wraps
 
 import pyarrow as pa
 
+#: Parameters of the GNU library's allocator (fixed values).
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
+LARGE_BLOCK = 1 << 18
+
 _held: dict[Hashable, object] = {}
 
 
@@ -28,6 +32,23 @@ def trim() -> None:
         pass
 
 
+_settled = False
+
+
+def settle() -> None:
+    """Large blocks of memory are mapped one by one and go back when they are freed, instead of
+    staying in a heap that only grows; all threads share one heap. Once per worker."""
+    global _settled
+    if not _settled:
+        _settled = True
+        try:
+            mallopt = ctypes.CDLL(None).mallopt
+        except (AttributeError, OSError):
+            return
+        mallopt(_MMAP_THRESHOLD, LARGE_BLOCK)
+        mallopt(_ARENA_MAX, 1)
+
+
 def model(key: Hashable, build: Callable[[], object]):
     """The model of this key; built, after all others are dropped, if the worker doesn't hold it."""
     if key not in _held:
@@ -48,6 +69,7 @@ def key_of(raw: bytes) -> str:
 
 
 def keep_only(key: Hashable) -> None:
+    settle()
     for other in [k for k in _held if k != key]:
         del _held[other]
     trim()
