@@ -489,3 +489,31 @@ ORACLE["stream_failed_batch"] = """
     SELECT branch, count(*) AS rows, CAST(8 AS BIGINT) AS batches, CAST(2 AS BIGINT) AS batches_before, true AS fewer_before
     FROM (SELECT event_type, unnest(CASE WHEN event_type = 'error' THEN ['all'] WHEN event_type = 'purchase'
         THEN ['all', 'named', 'all', 'named'] ELSE ['all', 'named'] END) AS branch FROM events) GROUP BY 1"""
+
+ORACLE["stream_envelopes"] = """
+    WITH m AS (SELECT *, event_id // 100 AS msg_id, 'client_' || CAST(event_id // 100 % 3 AS STRING) AS client FROM events),
+    n AS (SELECT DISTINCT msg_id, client FROM m)
+    SELECT 'rows' AS part, client, msg_id, 'B' || CAST(user_id AS STRING) AS from_bank, value AS amount_paid,
+           event_type AS payment_format
+    FROM m WHERE msg_id % 7 <> 0 AND msg_id % 11 <> 0
+    UNION ALL SELECT 'quarantined', client, msg_id, NULL, NULL, NULL FROM n WHERE msg_id % 7 = 0 OR msg_id % 11 = 0
+    UNION ALL SELECT 'quarantined', NULL, NULL, NULL, NULL, NULL FROM n WHERE msg_id % 13 = 0
+    UNION ALL SELECT 'control', client, msg_id, NULL, NULL, NULL FROM n WHERE msg_id % 17 = 0"""
+ORACLE["stream_q2_two_inputs"] = _with(
+    _TX, _USD, _ACC,
+    select=f"""SELECT q.*, CAST(CASE client_id WHEN 'client_0' THEN 3 WHEN 'client_1' THEN 4 ELSE 5 END AS BIGINT) AS step
+               FROM ({_questions('client_id, ')['q2']}) q""",
+)
+ORACLE["shard_export"] = _with(
+    _TX,
+    """
+ends AS (SELECT DISTINCT from_bank, from_account FROM tx),
+bytes AS (SELECT *, list_transform(string_split(from_bank || '_' || from_account, ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM ends),
+dealt AS (
+  SELECT from_bank, from_account, CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda acc, x: list_reduce(list_prepend(xor(acc, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+      lambda c, z: xor(c >> 1, (c & 1) * 3988292384)))) % 7 + 1 AS INTEGER) AS shard FROM bytes)""",
+    select="""SELECT shard, count(*) AS rows, count(DISTINCT (from_bank, from_account)) AS accounts,
+                     round(sum(amount_paid), 2) AS paid, count(*) AS listed, true AS bounded
+              FROM tx JOIN dealt USING (from_bank, from_account) GROUP BY 1""",
+)

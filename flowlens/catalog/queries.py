@@ -13,7 +13,7 @@ from flowlens.plans import questions
 from flowlens.plans.stages import run_stages
 from flowlens.schema import FROM, RESULTS, TO, TRANSACTIONS
 from flowlens.session import run_folder
-from flowlens.sources import csv_tables, envelopes, results, sample_views as views
+from flowlens.sources import csv_tables, envelopes, results, sample_views as views, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,12 +160,12 @@ def parse_timestamp(spark, folder):
     return _orders(spark, folder).select("o_orderkey", cleaning.parse_timestamp(text).alias("ts"))
 
 
-_PAYMENT = T.StructType(
+PAYMENT = T.StructType(
     [f for f in TRANSACTIONS.fields if f.name in ("from_bank", "amount_paid", "payment_format")]
 )
 
 
-def _envelopes(spark, folder):
+def envelope_texts(spark, folder):
     """Events packed hundred by hundred; every seventh message miscounts, every eleventh
     has lost its payload."""
     rows = views.table(spark, folder, "events").select(
@@ -186,8 +186,11 @@ def _envelopes(spark, folder):
         "msg_id",
         F.when(F.col("msg_id") % 11 != 0, payload).alias("payload"),
     )
-    text = packed.select(F.to_json(message).alias("value"))
-    return envelopes.parse_envelopes(text, _PAYMENT)
+    return packed.select(F.to_json(message).alias("value"))
+
+
+def _envelopes(spark, folder):
+    return envelopes.parse_envelopes(envelope_texts(spark, folder), PAYMENT)
 
 
 @query
@@ -298,6 +301,19 @@ def shard_assign(spark, folder):
     return routing.with_shard(accounts, ["bank", "account"], 7)
 
 
+@query
+def shard_export(spark, folder):
+    """Transactions in seven shards by their origin, read back shard by shard beside the manifest."""
+    tx, path = views.transactions(spark, folder), run_folder(spark, "export")
+    shards.write_shards(tx, FROM, 7, path, rows_per_file=5_000)
+    read = [shards.read_shard(spark, path, n, tx.schema).withColumn("shard", F.lit(n)) for n in range(1, 8)]
+    found = joins.union_streams(*read).groupBy("shard").agg(
+        F.count("*").alias("rows"), F.countDistinct(*FROM).alias("accounts"), F.round(F.sum("amount_paid"), 2).alias("paid")
+    )
+    listed = shards.manifest(spark, path).select("shard", F.col("rows").alias("listed"), (F.col("most_rows") <= 5_000).alias("bounded"))
+    return found.join(listed, "shard")
+
+
 # --- aggregates ----------------------------------------------------------------------
 
 

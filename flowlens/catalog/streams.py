@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.catalog.queries import PARAMETERS, ROUTES, money, query
+from flowlens.catalog.queries import PARAMETERS, PAYMENT, ROUTES, envelope_texts, money, query
 from flowlens.operators.aggregates import row_count
 from flowlens.operators.joins import union_streams
 from flowlens.operators.routing import split
@@ -20,6 +20,7 @@ from flowlens.streaming import questions
 from flowlens.streaming.completion import CompletedClients
 from flowlens.streaming.ingest import stream_parquet
 from flowlens.streaming.live import Tally, above_live_mark, completed
+from flowlens.streaming.messages import CONTROL, QUARANTINED, envelope_stream, named_maxima_of_two, stream_lines
 from flowlens.streaming.replays import above_high_mark, drop_repeats, high_mark_branches
 from flowlens.streaming.runs import appended, committed, numbered, run
 
@@ -328,3 +329,57 @@ def stream_failed_batch(spark, folder):
     first = seen[0].select("branch", F.col("batches").alias("batches_before"), F.col("rows").alias("rows_before"))
     # which rows a micro-batch holds is up to the files, so that of the first run only its batches count
     return whole.join(first, "branch").select("branch", "rows", "batches", "batches_before", (F.col("rows_before") < F.col("rows")).alias("fewer_before"))
+
+
+@query
+def stream_envelopes(spark, folder):
+    """Message texts in several micro-batches, some of them cut short, end markers among them: all
+    tables of one pass."""
+    texts, path = envelope_texts(spark, folder), run_folder(spark, "in-envelopes")
+    number = F.get_json_object("value", "$.msg_id").cast("bigint")
+    cut = texts.where(number % 13 == 0).select(F.substring("value", 1, 12).alias("value"))
+    end = F.struct(F.lit(END_TYPE).alias("type"), F.get_json_object("value", "$.client").alias("client"), number.alias("msg_id"))
+    ends = texts.where(number % 17 == 0).select(F.to_json(end).alias("value"))
+    union_streams(texts, cut, ends).repartition(BATCHES).write.text(path)
+    found = envelope_stream(stream_lines(spark, path, 1), run_folder(spark, "stream-envelopes"), {"raw_transactions": PAYMENT})
+    kept = ("client", "msg_id")
+    rows = found["raw_transactions"].select(F.lit("rows").alias("part"), *kept, "from_bank", "amount_paid", "payment_format")
+    others = (
+        found[part].select(F.lit(part).alias("part"), *kept, *(F.lit(None).cast(t).alias(n) for n, t in
+        (("from_bank", "string"), ("amount_paid", "double"), ("payment_format", "string")))) for part in (CONTROL, QUARANTINED)
+    )
+    return union_streams(rows, *others)
+
+
+@query
+def stream_q2_two_inputs(spark, folder):
+    """Q2 with payments and accounts both as streams. Payments end with step 3. The accounts of
+    client_0 are there before, those of client_1 come along and end a step later, those of client_2
+    come last. Markers are delivered twice. `step` is the micro-batch of the answer."""
+    steps, nothing = 6, F.lit(None).cast("string")
+    usd = in_currency(views.transactions(spark, folder))
+    paid = usd.select(
+        "client_id", F.lit("raw_transactions").alias("type"), nothing.alias("sender"), F.lit(None).cast("bigint").alias("msg_id"),
+        "from_bank", "from_account", "amount_paid", (F.dayofmonth("ts") % 4).alias("step"),
+    )
+    last = F.col("client_id").substr(-1, 1).cast("int")
+    each_client = F.explode(F.array(*(F.lit(f"client_{i}") for i in range(3))))
+    accounts = views.accounts(spark, folder).withColumn("client_id", each_client)
+    step = F.when(last == 0, 0).when(last == 1, F.col("bank_id").cast("int") % 5).otherwise(5)
+    known = accounts.select(
+        "client_id", F.lit("raw_accounts").alias("type"), nothing.alias("sender"), F.lit(None).cast("bigint").alias("msg_id"),
+        "bank_id", "bank_name", step.alias("step"),
+    )
+
+    def with_ends(rows: DataFrame, at: tuple[int, int, int]) -> DataFrame:
+        ends = [(f"client_{i}", END_TYPE, "gateway", 1, s) for i, first in enumerate(at) for s in (first, min(first + 1, steps - 1))]
+        marked = spark.createDataFrame(ends, "client_id string, type string, sender string, msg_id bigint, step int")
+        return rows.unionByName(marked, allowMissingColumns=True)
+
+    inputs = [(with_ends(paid, (3, 3, 3)), run_folder(spark, "in-paid")), (with_ends(known, (0, 4, 5)), run_folder(spark, "in-known"))]
+    path = run_folder(spark, "stream-q2-two")
+    for number in range(steps):
+        for rows, source in inputs:
+            rows.where(F.col("step") == number).drop("step").write.mode("append").parquet(source)
+        schema = named_maxima_of_two(*(stream_parquet(spark, source, rows.drop("step").schema) for rows, source in inputs), path)
+    return numbered(spark, path, "rows", schema).withColumnRenamed("batch", "step")
