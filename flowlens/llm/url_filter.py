@@ -7,6 +7,9 @@ are not listed; the third the listed keys that the second one passes, and so on
 passes nothing wrong. Over the keys of the corpus the answer is then exact, and it is read off the
 filters alone: they are constants of the expression, so pages are neither shuffled nor joined.
 
+A filter is one binary constant, and the tests of a key are functions of an array's elements. The
+expression hence has the same size for five rules and for many thousand of many shapes.
+
 The first filter's error rate is chosen so that about as many wrong keys pass as there are listed
 ones; after that half are let through. A cascade hence takes some bits per listed key times the
 logarithm of (keys of the corpus / listed keys): it grows with the list, hardly with the corpus.
@@ -18,14 +21,14 @@ page that no rule fits is allowed. Repeated rows and rows without page_id are ju
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.tables import materialize
 
-MAX_FILTER_BITS = 1 << 27  # 16 MB: a larger list is refused rather than sent to every task
+MAX_FILTER_BITS = 1 << 25  # 4.8 MB of constant: a larger list is refused rather than sent to every task
+BYTE_BITS = 7  # used of every byte, so that each is an ASCII character
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
@@ -51,50 +54,58 @@ class Shape:
         host, _, _ = rule.partition("/")
         return Shape(host.count(".") + 1, len(rule) - len(host))
 
-    def key(self, host: Column, path: Column) -> Column:
-        """The url's key of this shape; NULL if the host has fewer labels or the path is shorter."""
-        fits = (F.length(host) > 0) & (F.length(path) >= self.path_chars)
-        fits &= F.size(F.split(host, r"\.")) >= self.labels
-        suffix = F.substring_index(host, ".", -self.labels)
-        return F.when(fits, F.concat(suffix, path.substr(1, self.path_chars)))
+
+def keys_of(shapes: list[Shape], host: Column, path: Column) -> Column:
+    """The url's key of every shape that it has: hosts with fewer labels and shorter paths have none."""
+    forms = F.array(*(F.struct(F.lit(s.labels).alias("labels"), F.lit(s.path_chars).alias("chars")) for s in shapes))
+    fitting = F.filter(forms, lambda s: (s["chars"] <= F.length(path)) & (s["labels"] <= F.size(F.split(host, r"\."))))
+    keys = F.transform(
+        fitting,
+        lambda s: F.concat(F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.substring(path, 1, s["chars"])),
+    )
+    return F.when(F.length(host) > 0, keys).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass
 class Bloom:
-    """A Bloom filter as 64-bit words, asked by an expression."""
+    """A Bloom filter as bytes, asked by an expression."""
 
     bits: int
     hashes: int
     salt: int
-    words: list[int] = field(default_factory=list)
+    held: bytes = b""
 
-    def positions(self, key: Column) -> list[Column]:
+    def place(self, key: Column, i: Column) -> Column:
+        """The i-th place of a key."""
         # 31-bit halves: products of them stay within a bigint
         h = F.xxhash64(key, F.lit(self.salt))
         a, b = F.shiftrightunsigned(h, 33), h.bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1))
-        return [F.pmod(a + F.lit(i) * b, F.lit(self.bits)) for i in range(self.hashes)]
+        return F.pmod(a + i * b, F.lit(self.bits))
+
+    def numbers(self) -> Column:
+        return F.sequence(F.lit(0), F.lit(self.hashes - 1))
 
     def passes(self, key: Column) -> Column:
-        words = F.lit(self.words).cast("array<bigint>")
-        asked = [
-            F.call_function(
-                "shiftrightunsigned",
-                F.element_at(words, (F.shiftright(p, 6) + 1).cast("int")),
-                p.bitwiseAND(F.lit(63)).cast("int"),
-            ).bitwiseAND(F.lit(1)) == 1
-            for p in self.positions(key)
-        ]
-        return reduce(lambda x, y: x & y, asked)
+        held = F.lit(self.held)
+
+        def is_set(i: Column) -> Column:
+            p = self.place(key, i)
+            at = F.floor(p / BYTE_BITS).cast("int")
+            byte = F.ascii(F.substring(held, at + 1, F.lit(1)).cast("string"))
+            return F.call_function("shiftright", byte, (p % BYTE_BITS).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        return F.forall(self.numbers(), is_set)  # ends at the first place that isn't
 
     def built_from(self, keys: DataFrame) -> "Bloom":
         """Fills the filter: one map-side aggregation of bits into words, no more rows than words."""
-        at = keys.select(F.explode(F.array(*self.positions(F.col("key")))).alias("p"))
-        # Java shifts a long by the low six bits, so 63 gives the sign bit
-        bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
-        found = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
-        self.words = [0] * ((self.bits + 63) // 64)
-        for row in found:
-            self.words[row["w"]] = row["bits"]
+        places = F.transform(self.numbers(), lambda i: self.place(F.col("key"), i))
+        at = keys.select(F.explode(places).alias("p"))
+        word = BYTE_BITS * 8  # bits in a row that comes to the driver
+        found = at.groupBy(F.floor(F.col("p") / word).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(p % {word} as int))")).alias("bits"))
+        held = bytearray(math.ceil(self.bits / word) * 8)
+        for w, bits in found.collect():
+            held[w * 8 : w * 8 + 8] = bytes(bits >> BYTE_BITS * i & 0x7F for i in range(8))
+        self.held = bytes(held)
         return self
 
 
@@ -154,25 +165,22 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, default: str =
     spark = pages.sparkSession
     host, path = split_url(pages["url"].cast("string"))
     urls = pages.select(pages["page_id"].alias("page_id"), host.alias("host"), path.alias("path"))
-    shapes = sorted({Shape.of(r) for r in rules}, key=lambda s: (s.labels, s.path_chars))
-    keys = {shape: shape.key(F.col("host"), F.col("path")) for shape in shapes}
     rows = pages.count()
-    cascades = {}
+    fitting = []
     for verdict in sorted(set(rules.values())):
         mine = [r for r, v in rules.items() if v == verdict]
-        own = [s for s in shapes if s in {Shape.of(r) for r in mine}]
-        universe = urls.select(F.explode(F.array(*(keys[s] for s in own))).alias("key"))
+        shapes = sorted({Shape.of(r) for r in mine}, key=lambda s: (s.labels, s.path_chars))
+        keys = keys_of(shapes, F.col("host"), F.col("path"))
         listed = spark.createDataFrame([(r,) for r in mine], "key string")
-        cascade = build_cascade(listed, universe, rows * len(own))
-        for shape in own:
-            cascades[shape, verdict] = cascade.contains(keys[shape])
-    # The longest fitting rule is the greatest (length, key); a key is in at most one list.
-    fitting = [
-        F.when(inside, F.struct(F.length(keys[s]).alias("n"), keys[s].alias("rule"), F.lit(v).alias("verdict")))
-        for (s, v), inside in cascades.items()
-    ]
+        cascade = build_cascade(listed, urls.select(F.explode(keys).alias("key")), rows * len(shapes))
+        named = F.transform(
+            F.filter(keys, cascade.contains),
+            lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(verdict).alias("verdict")),
+        )
+        # The longest fitting rule is the greatest (length, key); a key is in at most one list.
+        fitting.append(F.array_max(named))
     nothing = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-    best = F.greatest(nothing, *fitting) if fitting else nothing
+    best = F.greatest(nothing, nothing, *fitting)
     judged = urls.select("*", best.alias("best"))
     return judged.select(
         "page_id", "host", "path",

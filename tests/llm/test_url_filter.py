@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from flowlens.llm import url_filter
 from flowlens.llm.url_filter import RULES, build_cascade, judge
 
 URLS = [
@@ -48,5 +49,39 @@ def test_cascade_is_exact_on_its_universe(spark, listed, others, seed):
     assert listed == 1 or len(cascade.levels) >= 2
 
 
+def test_ten_thousand_rules_of_many_shapes(spark):
+    dice = random.Random(5)
+
+    def host():
+        return ".".join(f"{dice.choice('abcdefgh')}{dice.randrange(40)}" for _ in range(dice.randrange(1, 5)))
+
+    def path(most):
+        return "/" + "".join(dice.choice("ab/") for _ in range(dice.randrange(most)))
+
+    rules = {}
+    while len(rules) < 10_000:
+        rules[host() + path(12)] = dice.choice(["allow", "block"])
+    known = list(rules)
+    urls = [f"http://{host()}{path(40)}" for _ in range(1500)] + [f"http://{host()}.{dice.choice(known)}{path(9)}?q" for _ in range(1500)]
+    got = judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules)
+    by_host = {}
+    for rule in rules:
+        by_host.setdefault(rule.partition("/")[0], []).append(rule)
+    for row in got.collect():
+        host_of, path_of, _, _ = brute(urls[row["page_id"]], {})
+        labels = host_of.split(".")
+        near = [r for i in range(len(labels)) for r in by_host.get(".".join(labels[i:]), [])]
+        # of fitting rules of one length the greatest
+        fits = max(((len(r), r) for r in near if path_of.startswith(r[r.index("/") :])), default=(0, None))[1]
+        assert tuple(row) == (row["page_id"], host_of, path_of, fits, rules.get(fits, "allow"))
+
+
+def test_list_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_FILTER_BITS", 10)
+    pages = spark.createDataFrame([(1, "http://a.org/")], "page_id bigint, url string")
+    with pytest.raises(ValueError, match="bound"):
+        judge(pages)
+
+
 def test_empty_table(spark):
     assert judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
