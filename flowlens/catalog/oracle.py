@@ -404,6 +404,7 @@ ORACLE["agg_pair_count_merge"] = ORACLE["agg_pair_count"]
 ORACLE["union_averages"] = ORACLE["agg_format_avg"]
 
 # So must the streams.
+ORACLE["stream_mixed_layouts"] = ORACLE["scan_mixed_layouts"]
 ORACLE["stream_q1"] = ORACLE["q1_small_usd"]
 ORACLE["stream_bank_max"] = _with(_TX, _USD, select=_bank_max("usd"))
 ORACLE["stream_format_avg"] = ORACLE["agg_format_avg"]

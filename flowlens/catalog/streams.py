@@ -6,19 +6,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from flowlens.catalog.queries import PARAMETERS, PAYMENT, ROUTES, envelope_texts, money, query
+from flowlens.catalog.queries import MIXED_FIELDS, PARAMETERS, PAYMENT, ROUTES, envelope_texts, mixed_layouts, money, query
 from flowlens.operators.aggregates import row_count
 from flowlens.operators.joins import union_streams
 from flowlens.operators.routing import split
 from flowlens.plans.questions import as_one_table, in_currency
+from flowlens.schema import TRANSACTIONS
 from flowlens.session import materialize, run_folder
 from flowlens.sources import sample_views as views
 from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
 from flowlens.streaming import questions
 from flowlens.streaming.completion import CompletedClients
-from flowlens.streaming.ingest import stream_parquet
+from flowlens.streaming.ingest import land_transactions, stream_parquet
 from flowlens.streaming.live import Tally, above_live_mark, completed
 from flowlens.streaming.messages import CONTROL, QUARANTINED, envelope_stream, named_maxima_of_two, stream_lines
 from flowlens.streaming.replays import above_high_mark, drop_repeats, high_mark_branches
@@ -383,3 +384,16 @@ def stream_q2_two_inputs(spark, folder):
             rows.where(F.col("step") == number).drop("step").write.mode("append").parquet(source)
         schema = named_maxima_of_two(*(stream_parquet(spark, source, rows.drop("step").schema) for rows, source in inputs), path)
     return numbered(spark, path, "rows", schema).withColumnRenamed("batch", "step")
+
+
+@query
+def stream_mixed_layouts(spark, folder):
+    """CSV files of three layouts as a stream that is started anew when another layout has come, two
+    files in a micro-batch; each file is read by its own header. A second stream counts on."""
+    landed = run_folder(spark, "landed-csv")
+    mixed_layouts(spark, folder, lambda path: land_transactions(spark, path, landed, max_files=2))
+    schema = T.StructType([*TRANSACTIONS.fields, T.StructField("batch", T.LongType())])
+    further = stream_parquet(spark, f"{landed}/rows", schema, 1).select(*MIXED_FIELDS)
+    path = run_folder(spark, "stream-mixed")
+    run(further, path)
+    return appended(spark, path, "rows", further.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -34,14 +35,18 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
 
 
-def layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files under `path` by their header, repeated names told apart; empty files have none.
+WHOLE_FILE = 1 << 50  # more bytes than a file has
 
-    One task per piece of a file, which stops after the first batch of lines; only headers and the
-    names of files come to the driver, which lists them for any reader."""
-    single = spark.newSession()  # its own settings: no two files in one partition
-    single.conf.set("spark.sql.files.openCostInBytes", single.conf.get("spark.sql.files.maxPartitionBytes"))
-    lines = single.read.text(path).select(
+
+def layouts(spark: SparkSession, *paths: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under `paths` by their header, repeated names told apart; empty files have none.
+
+    One task per file, however long, which stops after the first batch of lines; only headers and
+    the names of files come to the driver, which lists them for any reader."""
+    single = spark.newSession()  # its own settings: files stay whole, no two in one partition
+    for setting in ("maxPartitionBytes", "openCostInBytes"):
+        single.conf.set(f"spark.sql.files.{setting}", str(WHOLE_FILE))
+    lines = single.read.text(list(paths)).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
     )
     firsts = lines.mapInArrow(_first_rows, "value string, file string, at bigint").where("at = 0")
@@ -49,7 +54,7 @@ def layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     out: dict[tuple[str, ...], list[str]] = {}
     for row in found:
         names = tuple(dedupe_header(next(csv.reader([row["value"].lstrip("\ufeff")]), [])))
-        out.setdefault(names, []).extend(row["files"])
+        out.setdefault(names, []).extend(map(unquote, row["files"]))  # Spark gives them as uris
     return out
 
 
@@ -69,10 +74,10 @@ def raw_schema(header: Sequence[str]) -> T.StructType:
 CSV_OPTIONS = {"header": "true", "encoding": "UTF-8", "escape": '"'}
 
 
-def _read_raw(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
-    """One DataFrame per layout of the files under `path`, read by name."""
+def _read_raw(spark: SparkSession, paths: Sequence[str], multi_line: bool) -> list[DataFrame]:
+    """One DataFrame per layout of the files under `paths`, read by name."""
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line)
-    found = [reader.schema(raw_schema(names)).csv(sorted(files)) for names, files in layouts(spark, path).items()]
+    found = [reader.schema(raw_schema(names)).csv(sorted(files)) for names, files in (layouts(spark, *paths) if paths else {}).items()]
     return found or [spark.createDataFrame([], T.StructType())]
 
 
@@ -111,8 +116,8 @@ def accounts_from_raw(raw: DataFrame) -> DataFrame:
 def read_transactions(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
     """Columns are found by their names, file by file. Leave `multi_line` off unless quoted fields
     hold line breaks: with it a file cannot be split between tasks."""
-    return union_streams(*(transactions_from_raw(raw) for p in paths for raw in _read_raw(spark, p, multi_line)))
+    return union_streams(*(transactions_from_raw(raw) for raw in _read_raw(spark, paths, multi_line)))
 
 
 def read_accounts(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
-    return union_streams(*(accounts_from_raw(raw) for p in paths for raw in _read_raw(spark, p, multi_line)))
+    return union_streams(*(accounts_from_raw(raw) for raw in _read_raw(spark, paths, multi_line)))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from flowlens.schema import ACCOUNTS, TRANSACTIONS
 from flowlens.sources.csv_tables import (
     CSV_OPTIONS,
     accounts_from_raw,
     raw_schema,
+    read_accounts,
     read_header,
+    read_transactions,
     transactions_from_raw,
 )
+from flowlens.streaming.runs import committed, run
 
 
 def stream_parquet(
@@ -53,3 +57,36 @@ def stream_accounts(
     spark: SparkSession, path: str, header: Sequence[str] | None = None, max_files: int | None = None
 ) -> DataFrame:
     return accounts_from_raw(_stream_csv(spark, path, header, max_files))
+
+
+#: What a stream of file names looks like; only the path is asked for, so no content is read.
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+LANDED_FILES = 1_000  # that one micro-batch takes in; their names come to the driver
+
+
+def _land(
+    spark: SparkSession, path: str, folder: str, schema: T.StructType, read: Callable[..., DataFrame], max_files: int
+) -> DataFrame:
+    names = (
+        spark.readStream.schema(_FILES).format("binaryFile").option("maxFilesPerTrigger", max_files).load(path).select("path")
+    )
+
+    def branches(batch: DataFrame, _: int) -> dict[str, DataFrame]:
+        return {"rows": read(batch.sparkSession, *(row["path"] for row in batch.collect()))}
+
+    run(names, folder, branches, atomic=True)
+    return committed(spark, folder, "rows", schema)
+
+
+def land_transactions(spark: SparkSession, path: str, folder: str, max_files: int = LANDED_FILES) -> DataFrame:
+    """Takes in the transaction CSV files that have arrived under `path` since the last call, every
+    file by its own header, at most `max_files` in a micro-batch, and returns all rows landed so
+    far with the number of their `batch`. The rows lie as Parquet in ``folder/rows``, which
+    `stream_parquet` reads as a stream. A repeated batch overwrites its own rows; a file without
+    rows brings none."""
+    return _land(spark, path, folder, TRANSACTIONS, read_transactions, max_files)
+
+
+def land_accounts(spark: SparkSession, path: str, folder: str, max_files: int = LANDED_FILES) -> DataFrame:
+    """The same for accounts."""
+    return _land(spark, path, folder, ACCOUNTS, read_accounts, max_files)

@@ -200,3 +200,30 @@ def test_csv_stream(spark, tmp_path):
     table = questions.rows_of(ingest.stream_transactions(spark, str(folder), max_files=1), run_folder(spark, "csv"))
     rows = table.select("from_account", "to_account", "amount_paid").collect()
     assert sorted(map(tuple, rows)) == [("x", "y", 2.5), ("z", "w", None)]
+
+
+def test_csv_files_of_other_layouts_land_in_batches(spark, tmp_path):
+    source, landed = tmp_path / "in", run_folder(spark, "landed")
+    source.mkdir()
+
+    def land(name, text):
+        (source / name).write_bytes(text.encode())
+        return ingest.land_transactions(spark, str(source), landed, max_files=1)
+
+    land("a.csv", "Timestamp,Account,Account,Amount Paid\n2022/09/01 00:17,x,y,2.5\n")
+    land("b 1%.csv", "\ufeffAmount Paid,From Bank,Account\n,7,z\n")
+    land("only header.csv", "Account,From Bank\n")
+    land("empty.csv", "")
+    rows = land("c.csv", "Account,Account,Amount Paid\nAccount,Account,Amount Paid\n")
+    got = {(r["from_account"], r["to_account"], r["from_bank"], r["amount_paid"], r["batch"]) for r in rows.collect()}
+    assert got == {("x", "y", None, 2.5, 0), ("z", None, "7", None, 1), ("Account", "Account", None, None, 4)}
+    # nothing new: nothing is read again
+    assert ingest.land_transactions(spark, str(source), landed).count() == 3
+    further = ingest.stream_parquet(spark, f"{landed}/rows", rows.schema, 1).drop("batch")
+    assert questions.rows_of(further, run_folder(spark, "further")).count() == 3
+
+
+def test_accounts_land(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Bank Name,Bank ID,Account Number\nB,007,x\n")
+    rows = ingest.land_accounts(spark, str(tmp_path), run_folder(spark, "landed")).drop("batch")
+    assert [r["bank_name"] for r in rows.collect()] == ["B"]
