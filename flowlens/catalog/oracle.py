@@ -518,3 +518,15 @@ dealt AS (
                      round(sum(amount_paid), 2) AS paid, count(*) AS listed, true AS bounded
               FROM tx JOIN dealt USING (from_bank, from_account) GROUP BY 1""",
 )
+ORACLE["stream_running_totals"] = """
+    WITH steps AS (
+        SELECT date_trunc('day', ts) AS since, event_type,
+            CAST((day(ts) - 1) // 6 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS step,
+            count(*) AS n, sum(value) AS v
+        FROM events GROUP BY 1, 2, 3
+    )
+    SELECT CAST(since AS TIMESTAMP) AS since, event_type, step, CAST(sum(n) OVER w AS BIGINT) AS count, round(sum(v) OVER w, 4) AS total
+    FROM steps WINDOW w AS (PARTITION BY since, event_type ORDER BY step)"""
+ORACLE["stream_standing_totals"] = """
+    SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS since, event_type, count(*) AS count, round(sum(value), 4) AS total
+    FROM events GROUP BY 1, 2"""

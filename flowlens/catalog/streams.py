@@ -23,6 +23,7 @@ from flowlens.streaming.ingest import land_transactions, stream_parquet
 from flowlens.streaming.live import Tally, above_live_mark, completed
 from flowlens.streaming.messages import CONTROL, QUARANTINED, envelope_stream, named_maxima_of_two, stream_lines
 from flowlens.streaming.replays import above_high_mark, drop_repeats, high_mark_branches
+from flowlens.streaming.running import keep_totals, standing
 from flowlens.streaming.runs import appended, committed, numbered, run
 
 
@@ -397,3 +398,31 @@ def stream_mixed_layouts(spark, folder):
     path = run_folder(spark, "stream-mixed")
     run(further, path)
     return appended(spark, path, "rows", further.schema)
+
+
+def _running_totals(spark: SparkSession, folder: str, name: str) -> tuple[str, T.StructType]:
+    """Events of six days in a step, every seventh a step late, added up per day and type."""
+    step = F.floor((F.dayofmonth("ts") - 1) / 6).cast("int") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    events = views.table(spark, folder, "events").select("ts", "event_type", "value", step.alias("step"))
+    path, schemas = run_folder(spark, name), []
+    totals = {"count": F.count("*"), "total": F.sum("value"), "step": F.max("of_step")}
+
+    def started(stream: DataFrame) -> None:
+        schemas.append(keep_totals(stream, path, totals, "ts", span="1 day", delay="12 days", by=["event_type"]))
+
+    _arriving(events.withColumn("of_step", F.col("step")), name, 7, started)
+    return path, schemas[-1]
+
+
+@query
+def stream_running_totals(spark, folder):
+    """Totals per day and type as they were after every step that changed them."""
+    path, schema = _running_totals(spark, folder, "stream-running")
+    return appended(spark, path, "rows", schema).select("since", "event_type", "step", "count", money("total"))
+
+
+@query
+def stream_standing_totals(spark, folder):
+    """The same totals as they stand in the end."""
+    path, schema = _running_totals(spark, folder, "stream-standing")
+    return standing(spark, path, schema, ["event_type"]).select("since", "event_type", "count", money("total"))
