@@ -530,3 +530,5 @@ ORACLE["stream_running_totals"] = """
 ORACLE["stream_standing_totals"] = """
     SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS since, event_type, count(*) AS count, round(sum(value), 4) AS total
     FROM events GROUP BY 1, 2"""
+ORACLE["stream_stages"] = ORACLE["stages_from_config"]
+ORACLE["stream_stages_two_inputs"] = ORACLE["stages_from_config"]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from flowlens.catalog.queries import MIXED_FIELDS, PARAMETERS, PAYMENT, ROUTES, envelope_texts, mixed_layouts, money, query
+from flowlens.catalog.queries import MIXED_FIELDS, PARAMETERS, PAYMENT, ROUTES, STAGES, envelope_texts, mixed_layouts, money, query
 from flowlens.operators.aggregates import row_count
 from flowlens.operators.joins import union_streams
 from flowlens.operators.routing import split
@@ -19,6 +19,7 @@ from flowlens.sources import sample_views as views
 from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
 from flowlens.streaming import questions
 from flowlens.streaming.completion import CompletedClients
+from flowlens.streaming.graphs import StreamedStages
 from flowlens.streaming.ingest import land_transactions, stream_parquet
 from flowlens.streaming.live import Tally, above_live_mark, completed
 from flowlens.streaming.messages import CONTROL, QUARANTINED, envelope_stream, named_maxima_of_two, stream_lines
@@ -426,3 +427,25 @@ def stream_standing_totals(spark, folder):
     """The same totals as they stand in the end."""
     path, schema = _running_totals(spark, folder, "stream-standing")
     return standing(spark, path, schema, ["event_type"]).select("since", "event_type", "count", money("total"))
+
+
+@query
+def stream_stages(spark, folder):
+    """The configured stages with payments as a stream: one pass over it feeds all five questions."""
+    sides = {"accounts": views.accounts(spark, folder), "rates": views.rates(spark, folder)}
+    stages = StreamedStages(STAGES, {"transactions": _transactions(spark, folder)}, sides, run_folder(spark, "stream-stages"))
+    stages.run()
+    return as_one_table(stages.answers(spark))
+
+
+@query
+def stream_stages_two_inputs(spark, folder):
+    """The same with the banks' names as a second stream."""
+    nations = run_folder(spark, "in-names")
+    names = views.accounts(spark, folder)
+    names.repartition(4).write.parquet(nations)
+    streams = {"transactions": _transactions(spark, folder), "accounts": stream_parquet(spark, nations, names.schema, 1)}
+    path = run_folder(spark, "stream-stages-two")
+    stages = StreamedStages(STAGES, streams, {"rates": views.rates(spark, folder)}, path)
+    stages.run()
+    return as_one_table(stages.answers(spark))

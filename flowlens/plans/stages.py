@@ -49,15 +49,13 @@ def _parameters(spec: Mapping[str, Any] | Sequence[Mapping[str, Any]] | None) ->
     return {key: value for entry in entries for key, value in entry.items()}
 
 
-def run_stages(
-    config: Mapping[str, Any],
-    inputs: Mapping[str, DataFrame],
-    outputs: Sequence[str] | None = None,
-    by: Sequence[str] = (),
-) -> dict[str, DataFrame]:
-    """DataFrames for `outputs`, or for every output no other stage reads. Only what they
-    depend on is built."""
-    producers: dict[str, list[tuple[Mapping[str, Any], Mapping[str, Any] | None]]] = {}
+Producers = dict[str, list[tuple[Mapping[str, Any], Mapping[str, Any] | None]]]
+
+
+def producers_of(config: Mapping[str, Any]) -> tuple[Producers, list[str]]:
+    """The stages, with the route if there is one, that write each name; and the names that no
+    other stage reads."""
+    producers: Producers = {}
     read: set[str] = set()
     for stage in config["stages"]:
         if stage.get("output") or stage.get("outputs"):
@@ -66,7 +64,28 @@ def run_stages(
         for route in stage.get("routes", ()):
             producers.setdefault(route["output"], []).append((stage, route))
         read.update(_names(stage["input"]), stage.get("with", {}).values())
+    return producers, [n for n in producers if n not in read]
+
+
+def strategy_of(stage: Mapping[str, Any]) -> tuple[str, dict[str, Any]]:
+    """Name and parameters of a stage's strategy."""
+    params = _parameters(stage.get("strategy"))
+    return params.get("type", "none"), params
 
+
+def inputs_of(stage: Mapping[str, Any]) -> list[str]:
+    return _names(stage["input"])
+
+
+def run_stages(
+    config: Mapping[str, Any],
+    inputs: Mapping[str, DataFrame],
+    outputs: Sequence[str] | None = None,
+    by: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """DataFrames for `outputs`, or for every output no other stage reads. Only what they
+    depend on is built."""
+    producers, unread = producers_of(config)
     built: dict[str, DataFrame] = dict(inputs)
     open_names: list[str] = []
 
@@ -83,11 +102,11 @@ def run_stages(
         return built[name]
 
     def apply(stage: Mapping[str, Any], route: Mapping[str, Any] | None) -> DataFrame:
-        df = union_streams(*(resolve(n) for n in _names(stage["input"])))
-        params = _parameters(stage.get("strategy"))
+        df = union_streams(*(resolve(n) for n in inputs_of(stage)))
+        kind, params = strategy_of(stage)
         side = {key: resolve(name) for key, name in stage.get("with", {}).items()}
-        df = strategy(params.get("type", "none"))(df, side, params, by)
+        df = strategy(kind)(df, side, params, by)
         return df if route is None else df.where(all_of(route.get("filters", ())))
 
-    wanted = list(outputs) if outputs is not None else [n for n in producers if n not in read]
+    wanted = list(outputs) if outputs is not None else unread
     return {name: resolve(name) for name in wanted}
