@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.catalog import streams  # noqa: F401  (registers the streams)
+from flowlens.catalog.queries import QUERIES
 from flowlens.session import run_folder
 from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
 from flowlens.streaming.ingest import stream_parquet
-from flowlens.streaming.live import Tally, above_live_mark, completed
+from flowlens.streaming.live import SHORT_RUN_CONF, Tally, above_live_mark, completed
 from flowlens.streaming.replays import drop_repeats
 from flowlens.streaming.runs import committed, numbered, run
 
@@ -86,3 +88,47 @@ def test_readers_see_whole_batches_only(spark):
         else:
             run(stream, path, branches(fails), atomic=True)
         assert [committed(spark, path, b, stream.schema).count() for b in ("one", "two")] == [rows, rows]
+
+
+@pytest.fixture
+def default_state_store(spark):
+    """A session that wasn't built with the recommended settings."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, DEFAULT_STORE)
+    yield key
+    spark.conf.set(key, before)
+
+
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("signup", "view", "purchase", "error"))), (F.col("id") % 4 + 1).cast("int"))
+    day = F.expr("timestamp_ntz'1997-01-01 00:00:00' + make_dt_interval(cast(id % 28 as int))")
+    made = {
+        "events": (80, {"event_id": F.col("id"), "ts": day, "user_id": F.col("id") % 3, "event_type": kind, "value": (F.col("id") * 7 % 200).cast("double"), "props": F.lit("")}),
+        "orders": (12, {"o_orderkey": F.col("id"), "o_custkey": F.col("id") % 5, "o_orderdate": day, "o_orderpriority": F.lit("1-URGENT")}),
+        "lineitem": (12, {"l_orderkey": F.col("id"), "l_suppkey": F.col("id") % 4, "l_returnflag": F.lit("R"), "l_linenumber": F.lit(1), "l_extendedprice": F.col("id").cast("double"), "l_discount": F.lit(0.0)}),
+        "nation": (5, {"n_nationkey": F.col("id").cast("int"), "n_name": F.concat(F.lit("bank "), F.col("id").cast("string")), "n_regionkey": F.lit(1)}),
+    }
+    for name, (rows, columns) in made.items():
+        spark.range(rows).select(*(c.alias(n) for n, c in columns.items())).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stream_live_answers", "stream_live_tombstones"])
+def test_queries_with_the_default_state_store(spark, tables, default_state_store, name):
+    assert QUERIES[name](spark, tables).count() > 0
+    assert spark.conf.get(default_state_store) == DEFAULT_STORE  # the setting is the query's own
+
+
+def test_answers_with_the_default_state_store(spark, default_state_store):
+    source, path = run_folder(spark, "in"), run_folder(spark, "out")
+    for step in ([pay("a", 1, "x", 1.0, "k"), end("b", 1)], [pay("a", 2, "x", 2.0, "k"), end("a", 3)]):
+        spark.createDataFrame(step, SCHEMA).write.mode("append").parquet(source)
+        answers = completed(stream_parquet(spark, source, SCHEMA), Tally(("bank",), sums=("amount",)), 1)
+        run(answers, path, conf=SHORT_RUN_CONF)
+    assert [tuple(r) for r in numbered(spark, path, "rows", answers.schema).collect()] == [("a", "x", 2, 3.0, 1)]
