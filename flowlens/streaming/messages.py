@@ -12,7 +12,7 @@ from flowlens.operators.joins import with_bank_name
 from flowlens.operators.projection import project_to
 from flowlens.schema import RESULTS
 from flowlens.sources.envelopes import HEADER, parse_envelopes
-from flowlens.streaming.live import Tally, completed
+from flowlens.streaming.live import SHORT_RUN_CONF, Tally, completed
 from flowlens.streaming.replays import drop_repeats
 from flowlens.streaming.runs import committed, of_batch, run
 
@@ -92,7 +92,7 @@ def named_maxima_of_two(payments: DataFrame, accounts: DataFrame, folder: str, m
         batch.write.mode("overwrite").parquet(f"{folder}/groups/batch={number}")
         return {"rows": _named(of_batch(batch.sparkSession, folder, "groups", groups.schema, number))}
 
-    run(groups, folder, branches)
+    run(groups, folder, branches, conf=SHORT_RUN_CONF)
     return _named(groups.sparkSession.createDataFrame([], groups.schema)).schema
 
 

@@ -119,7 +119,7 @@ def tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["stream_live_answers", "stream_live_tombstones", "stream_live_marks"])
+@pytest.mark.parametrize("name", ["stream_live_answers", "stream_live_tombstones", "stream_live_marks", "stream_q2_two_inputs"])
 def test_queries_with_the_default_state_store(spark, tables, default_state_store, name):
     assert QUERIES[name](spark, tables).count() > 0
     assert spark.conf.get(default_state_store) == DEFAULT_STORE  # the setting is the query's own
