@@ -6,8 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.catalog import streams
 from flowlens.catalog.queries import QUERIES
 from flowlens.operators import cells, graph
+from flowlens.session import settings
 
 SCHEMA = "client_id string, from_bank string, from_account string, to_bank string, to_account string"
 
@@ -74,3 +76,22 @@ def test_a_start_across_batches(monkeypatch):
         batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
         got = [tuple(r.values()) for b in cells._counter(["n"], 1, [0], ["s", "e", "t"])(iter(batches)) for r in b.to_pylist()]
         assert got == want, size
+
+
+def test_grid_bounds_the_hottest_middle():
+    grid = cells.grid_for(1e9, 5e4, 35e6, 2.3e6, 500, 24)
+    assert grid.rows * grid.columns >= 100 and grid.moved(35e6, 2.3e6) < 1e9
+    assert cells.grid_for(5.0, 5.0, 3.0, 3.0, 4_000_000, 8).moved(3.0, 3.0) > 5.0
+
+
+@pytest.mark.parametrize("files, written", [(3, 8), (18, 16)])
+def test_lines_are_streamed_as_they_lie(spark, tmp_path, monkeypatch, files, written):
+    """Before, all columns of the line items were shuffled and written once more, into eight files."""
+    spark.range(90).select(*(F.col("id").alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey"))).repartition(files).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(streams, "run_folder", lambda *_: f"{tmp_path}/in")
+    conf = {"spark.sql.files.openCostInBytes": "128m", "spark.sql.files.maxPartitionBytes": "1m"}
+    with settings(spark, conf):  # a partition per file
+        streams._transactions(spark, str(tmp_path))
+    lines = spark.read.parquet(f"{tmp_path}/in")
+    assert lines.columns == list(streams.LINES) and lines.count() == 90
+    assert len(lines.inputFiles()) == written
