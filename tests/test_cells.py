@@ -88,6 +88,7 @@ def test_grid_bounds_the_hottest_middle():
 def test_lines_are_streamed_as_they_lie(spark, tmp_path, monkeypatch, files, written):
     """Before, all columns of the line items were shuffled and written once more, into eight files."""
     spark.range(90).select(*(F.col("id").alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey"))).repartition(files).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(3).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
     monkeypatch.setattr(streams, "run_folder", lambda *_: f"{tmp_path}/in")
     conf = {"spark.sql.files.openCostInBytes": "128m", "spark.sql.files.maxPartitionBytes": "1m"}
     with settings(spark, conf):  # a partition per file
