@@ -2,13 +2,9 @@
 
 The model's protobuf is parsed and its parts are set up anew: the normaliser, the mark for spaces,
 the pieces with their scores (unigram models) or the merges that the scores stand for (BPE models),
-and byte fallback. Whether the result is the same is checked, not assumed: every distinct stretch of
-text is encoded by both libraries, and `parity` tells whether all stretches of a document agree.
-
-A stretch is a run of space marks and what follows it up to the next mark. Where no piece has a mark
-behind another character, no piece reaches across two stretches, and the ids of a text are those of
-its stretches in a row; each distinct stretch is then encoded once per batch and worker, many at a
-time. A model with such pieces is used on whole texts.
+and byte fallback. Whether the result is the same is checked, not assumed: the reference library
+encodes every whole text as it came, and `parity` tells whether its ids are ours. The ids of every
+text are decoded as a whole, too. No id is taken over from another text.
 
 Defined results: a NULL text counts as empty and has no ids. Texts that hold a NUL or a space mark
 of their own, rows without doc_id and repeated rows are treated like others. An empty table gives
@@ -17,24 +13,24 @@ no rows. `text_matches` compares the decoded text with the normalised one.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from flowlens.llm import workers
 from flowlens.llm.tables import texts
-from flowlens.llm.word_cache import Coded, WordIds, flattened, slices
+from flowlens.llm.word_cache import slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2  # model types of the protobuf
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # types of a piece
 HOPELESS = -1e6
-DIFFERS, UNREAD = 1 << 31, 1 << 30  # marks on an id
 
 
 def parse_model(path: str):
@@ -88,6 +84,8 @@ class Codec:
     """Encodes and decodes batches of texts by one model file."""
 
     def __init__(self, path: str):
+        # a task has the cores Spark gave it; more threads only wait for each other
+        os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         import sentencepiece
         from tokenizers import decoders, normalizers
 
@@ -95,13 +93,12 @@ class Codec:
         self.spec = spec = self.model.normalizer_spec
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.tokenizer = build_tokenizer(self.model)
-        steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        self.tokenizer.decoder = decoders.Sequence(steps)
+        self.tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         pieces = self.model.pieces
-        whole = any(MARK in p.piece.lstrip(MARK) for p in pieces) or any(p.type == USER for p in pieces)
-        self.apart = not whole and not self.model.trainer_spec.treat_whitespace_as_suffix and spec.escape_whitespaces
-        self.words = WordIds(self._encode, self._split)
+        self.kinds = {i: p.type for i, p in enumerate(pieces) if p.type in (UNKNOWN, CONTROL, BYTE)}
+        first = f"<0x{MARK.encode()[0]:02X}>"  # bytes may spell a mark, which then is no space
+        self.odd = {i for i, k in self.kinds.items() if k != BYTE or pieces[i].piece == first}
 
     def normalise(self, text: str) -> str:
         """As the model's normaliser has it: character map, extra spaces, marks, one mark in front."""
@@ -113,67 +110,40 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.spec.escape_whitespaces else text
 
-    def _split(self, normal: pa.Array) -> pa.Array:
-        nul = pc.any(pc.match_substring(normal, "\x00")).as_py()
-        if self.apart and not nul:
-            return pc.split_pattern(pc.replace_substring_regex(normal, f"({MARK}+)", "\x00\\1"), "\x00")
-        pattern = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.apart else "(?s:.+)")
-        found = [pattern.findall(t) for t in normal.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
-        flat = pa.array([w for f in found for w in f], pa.large_string())
-        return pa.LargeListArray.from_arrays(pa.array(offsets), flat)
-
-    def _encode(self, stretches: list[str]) -> Coded:
-        """Ids of distinct stretches by the rebuilt tokenizer, all at once on several threads. The
-        first id of a stretch carries DIFFERS if the reference has other ids for it, and UNREAD if
-        they do not decode to the stretch. Decoding goes piece by piece, bytes of one character
-        never lie in two stretches, so what holds for all stretches holds for their text."""
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-        # the reference puts a mark in front by itself, so that of the stretch is left out
-        front = self.spec.add_dummy_prefix
-        raw = [(s[1:] if front else s).replace(MARK, " ") for s in stretches]
-        theirs = self.reference.encode(raw, num_threads=1)
-        alone = [self.reference.piece_to_id(MARK)]  # what it makes of a mark that ends a text
-        theirs = [alone if front and s == MARK else t for s, t in zip(stretches, theirs)]
-        back = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
-        marks = [
-            (DIFFERS if a != b else 0) | (UNREAD if t != s.replace(MARK, " ") else 0)
-            for a, b, t, s in zip(ours, theirs, back, stretches)
-        ]
-        return flattened([[a[0] | m, *a[1:]] if a and m else a for a, m in zip(ours, marks)])
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, end of each text's ids, whether the reference agrees, whether the ids
-        decode to the normalised text)"""
-        normal = [self.normalise(t) if t else "" for t in column.to_pylist()]
-        ids, ends = self.words.ids(pa.array(normal, pa.large_string()))
-        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-
-        def unmarked(mark: int) -> np.ndarray:
-            seen = np.concatenate([[0], np.cumsum((ids & np.uint32(mark)) > 0)])
-            return seen[ends] == seen[begins]
-
-        return ids & np.uint32(UNREAD - 1), ends, unmarked(DIFFERS), unmarked(UNREAD)
+        """(ids of all texts, end of each text's ids, whether the reference gives the whole text the same
+        ids, whether the ids of the whole text decode to the normalised one)"""
+        given = [t or "" for t in column.to_pylist()]
+        normal = [self.normalise(t) for t in given]
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
+        same = [ours == theirs for ours, theirs in zip(rows, self.reference.encode(given, num_threads=1))]
+        plain = (n.replace(MARK, " ") for n in normal)
+        read = [self._unfronted(p) == t for p, t in zip(plain, self.decode(rows))]
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(rows), "<u4", int(ends[-1]) if len(ends) else 0)
+        return ids, ends, np.array(same, bool), np.array(read, bool)
+
+    def _unfronted(self, text: str) -> str:
+        """Without the space that encoding puts in front."""
+        return text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text
+
+    def _by_runs(self, row: list[int]) -> str:
+        """The text of ids of which some are no usual pieces."""
+        sign, parts = self.model.trainer_spec.unk_surface or " \u2047 ", []
+        for kind, run in groupby(row, lambda i: self.kinds.get(i, NORMAL)):
+            if kind == UNKNOWN:
+                parts += [sign for _ in run]
+            elif kind != CONTROL:
+                text = self.tokenizer.decode(list(run), skip_special_tokens=False)
+                parts.append(text if kind == BYTE else text.replace(MARK, " "))
+        return "".join(parts)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of lists of ids, without the space that encoding puts in front. Unknown pieces read
         as the model's own sign for them, control pieces as nothing."""
-        sign = self.model.trainer_spec.unk_surface or " \u2047 "
-        kinds = {i: p.type for i, p in enumerate(self.model.pieces) if p.type in (UNKNOWN, CONTROL)}
-        out = []
-        for text, row in zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), ids):
-            if any(i in kinds for i in row):
-                parts, run = [], []
-                for i in [*row, None]:
-                    if i is None or i in kinds:
-                        parts.append(self.tokenizer.decode(run, skip_special_tokens=False) if run else "")
-                        parts.append(sign if i is not None and kinds[i] == UNKNOWN else "")
-                        run = []
-                    else:
-                        run.append(i)
-                text = "".join(parts)
-            out.append(text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text)
-        return out
+        found = zip(self.tokenizer.decode_batch(ids, skip_special_tokens=False), ids)
+        texts = (t.replace(MARK, " ") if self.odd.isdisjoint(row) else self._by_runs(row) for t, row in found)
+        return [self._unfronted(t) for t in texts]
 
 
 def codec(path: str) -> Codec:

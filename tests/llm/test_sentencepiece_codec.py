@@ -76,6 +76,34 @@ def test_a_wrong_tokenizer_is_noticed(path):
     assert same.tolist() == read.tolist() == [False, True]
 
 
+def test_whole_texts_are_decoded(path):
+    """Before, only distinct stretches were, in no order."""
+
+    class Forgetful:
+        """Decodes no more than 20 pieces of a list."""
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def decode_batch(self, ids, **options):
+            return self.tokenizer.decode_batch([row[:20] for row in ids], **options)
+
+    own = Codec(path)
+    own.tokenizer = Forgetful(own.tokenizer)
+    _, _, same, read = own.encode(pa.array(["the same " * 30, "the same"]))
+    assert (same.tolist(), read.tolist()) == ([True, True], [False, True])
+
+
+def test_a_wrong_normaliser_is_noticed(path, monkeypatch):
+    """The reference gets the text as it came; before, it got what our own normaliser made of it."""
+    monkeypatch.setattr(Codec, "normalise", lambda self, text, right=Codec.normalise: right(self, text.lower()))
+    _, _, same, _ = Codec(path).encode(pa.array(["Hello world", "the same"]))
+    assert same.tolist() == [False, True]
+
+
 def test_rows(documents):
     path = vocabulary("piece_bpe_32k.model")
     reference = sentencepiece.SentencePieceProcessor(model_file=path)
