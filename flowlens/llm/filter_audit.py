@@ -6,8 +6,9 @@ others removes those rows of its table that left-anti joins with the tables befo
 gone after a set of filters doesn't depend on their order within the set, so a set is counted once:
 the rows of its last letter without those of the letters before it, plus what the rest of the set
 removes. Thirty-one chains of anti joins over five tables thus give the survivors of all prefixes of
-all 120 orders; the tables are dealt by row once and the chains share these exchanges. Removals are
-differences of survivors, redundancies are failures less removals. Texts are read once.
+all 120 orders. CHAINS of them run at a time and share their exchanges: one plan of all would take
+the driver more memory, with every stage of it, than all tables together. Removals are differences
+of survivors, redundancies are failures less removals. Texts are read once.
 
 A text that equals one with a smaller id fails the last filter. Texts are compared by SHA-256, whose
 smallest ids come from a map-side aggregation. Digests with more than 1 / HOT_SHARE of the rows,
@@ -30,6 +31,7 @@ from flowlens.llm.tables import materialize
 
 FILTERS = "ABCDE"
 HOT_SHARE = 1000  # a digest with a larger part of the rows than this is handled by broadcast
+CHAINS = 4  # chains of anti joins in one plan
 WHITE = r"[\x20\x09-\x0D]+"
 KINDS = ("all", "good", "toxic")
 
@@ -107,8 +109,9 @@ def _bit(name: str) -> int:
 def _removed_last(tables: dict[str, DataFrame]) -> DataFrame:
     """(part, kind, last, before, n): rows that the filter `last` removes after the set `before` of
     filters with smaller letters, for every such pair."""
-    counts = []
+    counted = []
     for at, name in enumerate(FILTERS):
+        counts = []
         for before in range(1 << at):
             left = tables[name]
             for other in FILTERS[:at]:
@@ -119,7 +122,8 @@ def _removed_last(tables: dict[str, DataFrame]) -> DataFrame:
                     "part", "kind", F.lit(at).alias("last"), F.lit(before).alias("before"), "n"
                 )
             )
-    return materialize(reduce(DataFrame.unionByName, counts))
+        counted += [materialize(reduce(DataFrame.unionByName, counts[i : i + CHAINS])) for i in range(0, len(counts), CHAINS)]
+    return reduce(DataFrame.unionByName, counted)
 
 
 def _gone(removed: DataFrame) -> DataFrame:

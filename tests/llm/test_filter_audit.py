@@ -76,6 +76,20 @@ def test_equals_brute_force(spark, documents, monkeypatch, share):
     assert sorted(tuple(r) for r in found.collect()) == brute(ROWS, LABELS)
 
 
+def test_no_plan_holds_all_chains(spark, documents, monkeypatch):
+    """Before, one plan had all 49 anti joins of the chains, which took the driver's memory."""
+    joins = []
+
+    def counted(df, materialize=filter_audit.materialize):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join LeftAnti"))
+        return materialize(df)
+
+    monkeypatch.setattr(filter_audit, "materialize", counted)
+    found = audit(documents(*ROWS[:5]), labels_frame(spark, LABELS))
+    assert max(joins) <= 12 and sum(joins) in (49, 50)  # one of `copies`
+    assert found._jdf.queryExecution().analyzed().toString().count("Join LeftAnti") == 0
+
+
 def test_clean_rows_and_no_labels(spark, documents):
     rows = [(i, long(210, i), "en") for i in range(3)]
     found = audit(documents(*rows), labels_frame(spark, []))
