@@ -62,6 +62,18 @@ def test_many_paths_are_not_shuffled(spark, tmp_path):
     assert found.agg(F.count("*"), F.min("count"), F.max("count")).first()[:] == (800 * 40 - 40, 40, 40)
 
 
+def test_repeated_first_steps_are_lists(spark, monkeypatch):
+    """900 steps of 9 starts over three columns. Before, each was a row of its own in every column."""
+    tables = []
+    monkeypatch.setattr(cells, "materialize", lambda df, made=cells.materialize: tables.append(made(df)) or tables[-1])
+    first = spark.range(900).select((F.col("id") % 9).alias("s"), F.col("id").alias("m"), F.lit(2).alias("lw"))
+    last = spark.createDataFrame([(7, list(range(0, 900, 2)), [1] * 450), (8, [1, 10], [3, 5])], "e int, _middles array<long>, _weights array<long>")
+    got = cells.counted_in_cells(first, last, ["s"], ["e"], "m", ("lw", "rw"), cells.Grid(2, 3), "n")
+    want = {(s, 7): 100 for s in range(9)} | {(1, 8): 16}
+    assert {(r["s"], r["e"]): r["n"] for r in got.collect()} == want
+    assert [t.agg(F.sum(F.size("_middles")), F.count("*")).first()[:] for t in tables] == [(900, 9)]
+
+
 def test_a_start_across_batches(monkeypatch):
     monkeypatch.setattr(cells, "PATHS_AT_ONCE", 5)
     monkeypatch.setattr(cells, "OUT_ROWS", 3)
