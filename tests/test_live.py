@@ -1,12 +1,17 @@
 """Live state: answers as soon as the markers are there, tombstones, marks, failures within a batch."""
 
+import random
+
+import pandas as pd
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from flowlens.catalog import streams  # noqa: F401  (registers the streams)
 from flowlens.catalog.queries import QUERIES
 from flowlens.session import run_folder
 from flowlens.sources.envelopes import CANCEL_TYPE, END_TYPE
+from flowlens.streaming import live
 from flowlens.streaming.ingest import stream_parquet
 from flowlens.streaming.live import SHORT_RUN_CONF, Tally, above_live_mark, completed
 from flowlens.streaming.replays import drop_repeats
@@ -132,3 +137,83 @@ def test_answers_with_the_default_state_store(spark, default_state_store):
         answers = completed(stream_parquet(spark, source, SCHEMA), Tally(("bank",), sums=("amount",)), 1)
         run(answers, path, conf=SHORT_RUN_CONF)
     assert [tuple(r) for r in numbered(spark, path, "rows", answers.schema).collect()] == [("a", "x", 2, 3.0, 1)]
+
+
+class State:
+    """A shelf's state in memory, which counts how often it is asked."""
+
+    def __init__(self):
+        self.entries, self.value, self.asked = {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.entries[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self.entries[key]
+
+
+def given(processor, rows):
+    """What a processor returns for the rows of a shelf, which come in parcels of 50 and two chunks."""
+    parcels = pd.DataFrame({"parcel": [live._sealed(rows.slice(at, 50)) for at in range(0, len(rows), 50)]})
+    half = len(parcels) // 2
+    return list(processor.handleInputRows((0,), iter([parcels.iloc[:half], parcels.iloc[half:]]), None))
+
+
+@pytest.mark.parametrize("size", [None, 2_000])
+def test_many_clients_share_looks_at_the_state(monkeypatch, size):
+    monkeypatch.setattr(live, "DRAWER_BYTES", size or live.DRAWER_BYTES)
+    tally, state, some = Tally(("bank",), "count", (), "amount", "account"), State(), random.Random(1)
+    kinds = [T.StructField("_hash", T.IntegerType()), T.StructField("client_id", T.StringType()), T.StructField("message_kind", T.StringType())]
+    partial = T.StructType([*kinds, *tally.groups.fields, *tally.values.fields])
+    out = T.StructType([kinds[1], *tally.groups.fields, *tally.values.fields])
+    processor = live._UntilComplete(tally, "client_id", 3, partial, out)
+    processor.init(state)
+    clients, held = [None, *(f"c{i}" for i in range(400))], {}
+    for _ in range(5):
+        rows = []
+        for _ in range(1500):
+            of, kind = some.randrange(len(clients)), some.choices(["row", END_TYPE, CANCEL_TYPE], [70, 25, 5])[0]
+            value = (some.choice(["x", "y", None]), 1, float(some.randrange(5)), some.choice("kl")) if kind == "row" else (None, 1, None, None)
+            rows.append((of * live.SHELVES, clients[of], kind, *value))
+        want, sent = [], {}
+        for _, client, kind, *value in rows:
+            sent.setdefault(client, []).append((kind, *value))
+        for client, those in sent.items():
+            mine = held[client] = held.get(client, []) + those
+            if any(kind == CANCEL_TYPE for kind, *_ in mine):
+                del held[client]
+            elif sum(kind == END_TYPE for kind, *_ in mine) >= 3:
+                for bank in {r[1] for r in mine if r[0] == "row"}:
+                    group = [r for r in mine if r[0] == "row" and r[1] == bank]
+                    top, account = min((-r[3], r[4]) for r in group)
+                    want.append((client, bank, len(group), -top, account))
+                del held[client]
+        asked = state.asked
+        found = given(processor, live._arrow(pd.DataFrame(rows, columns=partial.fieldNames()), partial))
+        got = [tuple(r) for f in found for r in f.astype(object).itertuples(index=False)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        if size is None:
+            assert state.asked - asked <= 3  # of 400 clients, each of which took several before
+    assert size is None or len(state.entries) > 8
