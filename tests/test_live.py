@@ -217,3 +217,25 @@ def test_many_clients_share_looks_at_the_state(monkeypatch, size):
         if size is None:
             assert state.asked - asked <= 3  # of 400 clients, each of which took several before
     assert size is None or len(state.entries) > 8
+
+
+@pytest.mark.parametrize("size", [None, 2_000])
+def test_many_marks_share_looks_at_the_state(monkeypatch, size):
+    monkeypatch.setattr(live, "DRAWER_BYTES", size or live.DRAWER_BYTES)
+    state, some, marks = State(), random.Random(2), {}
+    processor = live._HighMark(["client_id", "sender"], "msg_id")
+    processor.init(state)
+    for step in range(5):
+        rows = [(some.choice([None, *range(100)]), some.choice("st"), step * 20 + some.randrange(60)) for _ in range(2000)]
+        want = {r for r in rows if r[2] > marks.get(r[:2], -1)}
+        for r in want:
+            marks[r[:2]] = max(marks.get(r[:2], -1), r[2])
+        hashes = pa.array([(0 if r[0] is None else r[0]) * live.SHELVES for r in rows], pa.int32())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64()))]
+        asked = state.asked
+        found = given(processor, pa.table([*columns, hashes], ["client_id", "sender", "msg_id", "_hash"]))
+        got = [tuple(r.values()) for f in found for r in live._opened(f["parcel"]).to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+        if size is None:
+            assert state.asked - asked <= 3
+    assert size is None or len(state.entries) > 2
