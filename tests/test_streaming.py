@@ -1,5 +1,8 @@
 """Streams: restarts, replays, end markers, tombstones."""
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from flowlens.operators.aggregates import row_count
 from flowlens.operators.validate import same_multiset
 from flowlens.plans import questions as batch
 from flowlens.schema import TRANSACTIONS
-from flowlens.session import run_folder
+from flowlens.session import run_folder, settings
 from flowlens.streaming import ingest, questions, replays, runs
 from flowlens.streaming.completion import CompletedClients
 
@@ -227,3 +230,39 @@ def test_accounts_land(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Bank Name,Bank ID,Account Number\nB,007,x\n")
     rows = ingest.land_accounts(spark, str(tmp_path), run_folder(spark, "landed")).drop("batch")
     assert [r["bank_name"] for r in rows.collect()] == ["B"]
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_a_batch_leaves_no_shuffle_files(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(1000).repartition(4).write.parquet(source)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        spark.range(500).withColumn("half", F.col("id") * 2).repartition(2).write.parquet(str(tmp_path / "table"))
+        before = shuffle_files(spark)
+        looked_up = ingest.stream_parquet(spark, source, "id bigint", 1).join(spark.read.parquet(str(tmp_path / "table")), "id")
+        folder, during = run_folder(spark, "shuffled"), []
+
+        def branches(batch, _):
+            during.append(batch.rdd.count() and len(shuffle_files(spark) - before))
+            return {"rows": batch}
+
+        runs.run(looked_up, folder, branches)
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and len(during) == 4 and min(during) > 0
+    assert runs.appended(spark, folder, "rows", looked_up.schema).count() == 500
+
+
+def test_used_up_files_go(spark, tmp_path):
+    source, folder = tmp_path / "in", run_folder(spark, "used-up")
+    spark.range(100).repartition(4).write.parquet(str(source))
+    found = questions.rows_of(ingest.stream_parquet(spark, str(source), "id bigint", 1, used_up=True), folder)
+    assert found.count() == 100
+    assert len(list(source.glob("part-*"))) <= 2  # the last batch's, and one that may still be going
